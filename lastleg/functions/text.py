@@ -16,8 +16,9 @@ def padded_id(prefix: str, number: Column, width: int) -> Column:
 
 
 def fixed(c: Column | str, n: int) -> Column:
-    """Number with ``n`` decimals."""
-    return F.format_string(f"%.{n}f", py_round(c, n))
+    """Number with ``n`` decimals; null for null."""
+    value = py_round(c, n)
+    return F.when(value.isNotNull(), F.format_string(f"%.{n}f", value))
 
 
 def percent(c: Column, n: int) -> Column:

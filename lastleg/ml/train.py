@@ -12,12 +12,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lastleg import settings
-from lastleg.functions.numeric import dbl, np_round
-from lastleg.functions.text import percent, title_case
+from lastleg.functions.text import fixed, percent, title_case
 from lastleg.ml.prepare import CITY_CODE, feature_rows
 from lastleg.operators import derive
 from lastleg.operators.metrics import classification_metrics, regression_metrics
 from lastleg.operators.sampling import hash_sample, stratified_split
+from lastleg.session import enable_checkpoints
 
 RESULT_SCHEMA = (
     "model string, accuracy double, roc_auc double, precision double, recall double, f1 double,"
@@ -60,6 +60,7 @@ def _fit(name: str, df: DataFrame, label: str, estimator, exclude: tuple[str, ..
     Tree learners pass over the training rows many times, so these are kept in memory and on
     disk; what an executor loses is recomputed.
     """
+    enable_checkpoints(df.sparkSession)
     rows, features = feature_rows(df, exclude)
     inputs = rows.select("order_id", "city", *features, F.col(label).cast("double").alias("label"))
     split = stratified_split(inputs, "order_id", "label" if stratify else None).persist()
@@ -151,7 +152,7 @@ def model_status(table: DataFrame) -> DataFrame:
         percent(score, 0).alias("sidebar_text"), percent(score, 1).alias("card_text"),
         F.when(score > 0.82, "good").otherwise("weak").alias("sidebar_band"),
         F.when(score > 0.83, "success").when(score > 0.75, "warning").otherwise("danger").alias("card_band"),
-        F.coalesce(F.concat(F.lit("AUC: "), F.format_string("%.3f", F.col("roc_auc"))), F.lit("Regressor")).alias("sub_text"))
+        F.coalesce(F.concat(F.lit("AUC: "), fixed(F.nullif(F.col("roc_auc"), F.lit(0.0)), 3)), F.lit("Regressor")).alias("sub_text"))
 
 
 def top_features(table: DataFrame) -> DataFrame:

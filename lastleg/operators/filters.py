@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 # The date presets, in days.
 DATE_PRESETS = {"Last 30 Days": 30, "Last 90 Days": 90, "Last 6 Months": 180, "All Time": None}
 ALL = "All"
+# Day of ``created_at``, in tables stored with one folder per day.
+DAY_COLUMN = "order_date"
 
 
 def by_city(df: DataFrame, city: str = ALL, fall_back: bool = False) -> DataFrame:
@@ -29,13 +31,22 @@ def by_city(df: DataFrame, city: str = ALL, fall_back: bool = False) -> DataFram
 def last_days(df: DataFrame, days: int | None, time: str = "created_at") -> DataFrame:
     """Rows of the last ``days`` days before the newest one.
 
-    The newest time is a scalar subquery; Spark pushes the comparison into the scan.
+    The start is a scalar subquery; Spark pushes the comparison into the scan. A table
+    stored by day has its day column compared too: the newest time is then looked up in the
+    newest folder only, and older folders are never opened.
     """
     if days is None:
         return df
-    newest = df.agg(F.max(time).alias("newest"))
-    start = newest.select(F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).scalar()
-    return df.where(F.col(time) >= start)
+    latest = df
+    if DAY_COLUMN in df.columns:
+        latest = df.where(F.col(DAY_COLUMN) == df.agg(F.max(DAY_COLUMN)).scalar())
+    newest = latest.agg(F.max(time).alias("newest"))
+    start = newest.select(F.col("newest") - F.expr(f"INTERVAL {days} DAYS"))
+    out = df.where(F.col(time) >= start.scalar())
+    if DAY_COLUMN in df.columns:
+        first_day = newest.select(F.to_date(F.col("newest") - F.expr(f"INTERVAL {days} DAYS")))
+        out = out.where(F.col(DAY_COLUMN) >= first_day.scalar())
+    return out
 
 
 @dataclass(frozen=True)

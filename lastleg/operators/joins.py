@@ -47,9 +47,11 @@ def lookup_join(
         return facts.join(F.broadcast(lookup), keys, how)
 
     attributes = [c for c in lookup.columns if c not in keys]
+    if how == "inner":
+        facts = facts.na.drop("any", subset=keys)
     sampled = facts.select(*keys).na.drop("any")
     if sample is not None:
-        sampled = sampled.sample(sample, seed=17)
+        sampled = sampled.sample(withReplacement=False, fraction=sample, seed=17)
     counts = sampled.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = counts.select(F.sum("_n") * F.lit(hot_share)).scalar()
     hot_keys = counts.where(F.col("_n") > limit).select(*keys)
@@ -103,11 +105,12 @@ def nearest_reading(
     )
     calendar = hours.withColumn("_asked", F.lit(True)).join(slots, [*keys, "_hour"], "full")
     before = W.partitionBy(*keys).orderBy("_hour").rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = W.partitionBy(*keys).orderBy("_hour").rowsBetween(1, W.unboundedFollowing)
+    # Read backwards: a frame that grows is linear, one that shrinks is quadratic.
+    after = W.partitionBy(*keys).orderBy(F.desc("_hour")).rowsBetween(W.unboundedPreceding, -1)
     on_the_hour = F.when(F.col("_last.at") == F.col("_hour"), F.col("_last"))
     found = calendar.withColumns({
         "_prev": F.last("_last", ignorenulls=True).over(before),
-        "_next": F.coalesce(on_the_hour, F.first("_first", ignorenulls=True).over(after)),
+        "_next": F.coalesce(on_the_hour, F.last("_first", ignorenulls=True).over(after)),
     }).where("_asked")
     to_prev = F.unix_micros("_hour") - F.unix_micros("_prev.at")
     to_next = F.unix_micros("_next.at") - F.unix_micros("_hour")

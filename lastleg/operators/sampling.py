@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lastleg import settings
 from lastleg.functions import dates
-from lastleg.operators.joins import lookup_join
+from lastleg.operators.joins import fits_broadcast, lookup_join
 
 # Hex digits of the hash that form a bucket: 16^n buckets per group.
 BUCKET_DIGITS = 4
@@ -68,7 +68,8 @@ def stratified_split(
     group = (label,) if label else ()
     thresholds = hash_thresholds(df, key, train, group, digits)
     if label:
-        marked = lookup_join(df, thresholds, label)
+        few = fits_broadcast(df.select(label).distinct())
+        marked = lookup_join(df, thresholds, label, small=few)
         inside = hash_key(key) <= F.col("_threshold")
     else:
         marked = df

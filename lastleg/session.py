@@ -19,23 +19,34 @@ def build_session(app: str = "lastleg", master: str = "local[8]", **conf: str) -
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
+
+
+# Settings the jobs rely on.
+#  - Timestamps carry no zone: the session is UTC.
+#  - The JVM compiles no method above 8000 bytes. Wide projections fused into one larger
+#    method would run interpreted, several times slower than unfused.
+#  - Adaptive execution splits skewed shuffle partitions, also below an aggregate.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the results depend on. Timestamps carry no zone, so the session is UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the settings the results and the plans depend on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -57,6 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def enable_checkpoints(spark: SparkSession) -> None:
+    """Let iterative learners cut their lineage, in the folder the session names."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lastleg/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 

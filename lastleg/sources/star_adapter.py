@@ -8,6 +8,8 @@ ten, so another engine computes the same values.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lastleg import settings
@@ -45,7 +47,8 @@ LONGITUDES = _micro([c[1] for c in settings.CITIES.values()])
 
 
 def _scaled(c: Column, digits: int) -> Column:
-    return c / F.lit(float(10**digits))
+    """An integer as a decimal with ``digits`` places, without going through a double."""
+    return c.cast("decimal(9,0)") * F.lit(Decimal(1).scaleb(-digits))
 
 
 def _select(df: DataFrame, table: Table, columns: dict[str, Column]) -> DataFrame:
