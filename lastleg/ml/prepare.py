@@ -30,21 +30,25 @@ def encode_city(df: DataFrame) -> DataFrame:
     return lookup_join(df, city_codes(df), "city")
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row with the median, from counts per distinct value.
+
+    The counts are shuffled by value, so the last step sees each distinct value once, not
+    once per map task. Features are rounded: they have few distinct values.
+    """
+    values = df.select(dbl(column).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
+    return values.agg(F.percentile("v", 0.5, F.col("n")))
+
+
 def impute_medians(df: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles, nulls replaced by the exact median of their column.
 
-    A first pass counts nulls, so medians are computed only where one is needed. A median
-    works on counts per distinct value; the features are rounded, so these are few.
+    A first pass counts nulls, so medians are computed only where one is needed.
     """
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
-    gaps = [c for c in features if counts[c]]
-    if not gaps:
-        return df.withColumns({c: dbl(c) for c in features})
-    medians = df.agg(F.struct(*[F.median(dbl(c)).alias(c) for c in gaps]).alias("m")).scalar()
-    filled = df.withColumn("_medians", medians)
-    return filled.withColumns({
-        c: F.coalesce(dbl(c), F.col("_medians")[c]) if c in gaps else dbl(c) for c in features
-    }).drop("_medians")
+    return df.withColumns({
+        c: F.coalesce(dbl(c), exact_median(df, c).scalar()) if counts[c] else dbl(c) for c in features
+    })
 
 
 def feature_rows(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:

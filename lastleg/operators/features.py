@@ -51,11 +51,14 @@ def late_risk_score() -> Column:
     )
 
 
-def join_riders(orders: DataFrame, riders: DataFrame | None, small: bool | None = None) -> DataFrame:
+def join_riders(
+    orders: DataFrame, riders: DataFrame | None, small: bool | None = None, source: DataFrame | None = None,
+) -> DataFrame:
     """Rider attributes by rider id; constants when there is no rider table."""
     if riders is None:
         return orders.withColumns({name: F.lit(v) for name, v in settings.RIDER_DEFAULTS.items()})
-    return lookup_join(orders, riders.select("rider_id", *settings.RIDER_DEFAULTS), "rider_id", small=small)
+    attributes = riders.select("rider_id", *settings.RIDER_DEFAULTS)
+    return lookup_join(orders, attributes, "rider_id", small=small, keys_from=source)
 
 
 def store_day_counts(orders: DataFrame) -> DataFrame:
@@ -67,15 +70,18 @@ def store_day_counts(orders: DataFrame) -> DataFrame:
     )
 
 
-def join_store_load(orders: DataFrame, small: bool | None = None, counts: DataFrame | None = None) -> DataFrame:
+def join_store_load(orders: DataFrame, small: bool | None = None, source: DataFrame | None = None) -> DataFrame:
     """Orders of the same store on the same day; null where the store is unknown.
 
     A count per store and day is joined back, rather than a window over the orders, so a
     store with a large share of all orders never has to fit one task.
     """
-    counts = store_day_counts(orders) if counts is None else counts
-    dated = orders.withColumn("_day", dates.day("created_at"))
-    return lookup_join(dated, counts, ["dark_store_id", "_day"], small=small).drop("_day")
+    source = orders if source is None else source
+    day = dates.day("created_at")
+    joined = lookup_join(
+        orders.withColumn("_day", day), store_day_counts(source), ["dark_store_id", "_day"], small=small,
+        keys_from=source.withColumn("_day", day))
+    return joined.drop("_day")
 
 
 def city_hour_congestion(orders: DataFrame) -> DataFrame:
@@ -86,21 +92,22 @@ def city_hour_congestion(orders: DataFrame) -> DataFrame:
     )
 
 
-def join_city_congestion(orders: DataFrame, small: bool | None = None) -> DataFrame:
-    return lookup_join(orders, city_hour_congestion(orders), ["city", "hour_of_day"], small=small)
+def join_city_congestion(orders: DataFrame, small: bool | None = None, source: DataFrame | None = None) -> DataFrame:
+    source = orders if source is None else source
+    return lookup_join(orders, city_hour_congestion(source), ["city", "hour_of_day"], small=small, keys_from=source)
 
 
 def engineer(orders: DataFrame, riders: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """Orders with all engineered columns.
 
-    ``orders`` is read three times (rows, store-day counts, city-hour means), each time with
+    ``orders`` is read several times (rows, store-day counts, city-hour means), each time with
     only the columns needed, so pass a stored table. ``small`` forces the join strategy of
     every lookup; by default each lookup's size is checked.
     """
     rows = orders.withColumns({
         **time_features(), **operational_flags(), **ratio_features(), "late_risk_score": late_risk_score(),
     })
-    rows = join_riders(rows, riders, small)
-    rows = join_store_load(rows, small, counts=store_day_counts(orders))
-    rows = lookup_join(rows, city_hour_congestion(orders), ["city", "hour_of_day"], small=small)
+    rows = join_riders(rows, riders, small, orders)
+    rows = join_store_load(rows, small, orders)
+    rows = join_city_congestion(rows, small, orders)
     return rows.select(*orders.columns, *ENGINEERED)

@@ -27,6 +27,7 @@ def lookup_join(
     small: bool | None = None,
     hot_share: float = HOT_SHARE,
     sample: float | None = HOT_SAMPLE,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Attach lookup columns to facts; ``lookup`` has one row per key.
 
@@ -37,6 +38,8 @@ def lookup_join(
 
     Whether a key counts as hot is estimated from a sample of the facts and decides only
     where rows travel. Every fact row takes its values from exactly one of the two lookups.
+    ``keys_from`` is a cheaper source of the same keys for that sample, such as the stored
+    table the facts were derived from.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
@@ -49,7 +52,7 @@ def lookup_join(
     attributes = [c for c in lookup.columns if c not in keys]
     if how == "inner":
         facts = facts.na.drop("any", subset=keys)
-    sampled = facts.select(*keys).na.drop("any")
+    sampled = (facts if keys_from is None else keys_from).select(*keys).na.drop("any")
     if sample is not None:
         sampled = sampled.sample(withReplacement=False, fraction=sample, seed=17)
     counts = sampled.groupBy(*keys).agg(F.count("*").alias("_n"))

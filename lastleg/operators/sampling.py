@@ -15,6 +15,16 @@ from lastleg.operators.joins import fits_broadcast, lookup_join
 
 # Hex digits of the hash that form a bucket: 16^n buckets per group.
 BUCKET_DIGITS = 4
+# Rows one sort should see at most, when all rows are in one group.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_digits(rows: int) -> int:
+    """Digits that keep buckets near ``BUCKET_ROWS``; at most 16^5 buckets per group."""
+    digits = 1
+    while digits < 5 and rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def hash_key(key: str) -> Column:
@@ -35,17 +45,21 @@ def _bucket_offsets(hashed: DataFrame, group: list[str], digits: int) -> DataFra
     })
 
 
-def hash_thresholds(df: DataFrame, key: str, keep: Column, group: tuple[str, ...] = (), digits: int = BUCKET_DIGITS) -> DataFrame:
+def hash_thresholds(
+    df: DataFrame, key: str, keep: Column, group: tuple[str, ...] = (), digits: int = BUCKET_DIGITS, few: bool = True,
+) -> DataFrame:
     """Per group, the hash of the ``keep``-th row; ``keep`` may use the group size ``_total``.
 
-    A group with fewer rows gets no threshold: all of it is kept.
+    A group with fewer rows gets no threshold. ``few`` says that the groups are known to be
+    few; otherwise the edge buckets are found by a shuffle on group and bucket, which spreads
+    every group.
     """
     keys = list(group)
     hashed = df.select(*keys, hash_key(key).alias("_hash"))
     offsets = _bucket_offsets(hashed, keys, digits).withColumn("_keep", keep.cast("bigint"))
     edge = offsets.where((F.col("_before") < F.col("_keep")) & (F.col("_keep") <= F.col("_before") + F.col("_n")))
     edge = edge.select(*keys, "_bucket", (F.col("_keep") - F.col("_before")).alias("_nth"))
-    in_edge = hashed.withColumn("_bucket", _bucket(digits)).join(F.broadcast(edge), [*keys, "_bucket"])
+    in_edge = hashed.withColumn("_bucket", _bucket(digits)).join(F.broadcast(edge) if few else edge, [*keys, "_bucket"])
     rank = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_hash"))
     return in_edge.withColumn("_rank", rank).where("_rank = _nth").select(*keys, F.col("_hash").alias("_threshold"))
 
@@ -62,13 +76,13 @@ def stratified_split(
     """Add ``split``: exactly the given share of every label value goes to the test set.
 
     The facts are not shuffled or sorted: they are compared with one threshold per label
-    value. Labels are class values, so the thresholds are few.
+    value, once the label values were counted and are few.
     """
     train = F.col("_total") - F.ceil(F.col("_total") * F.lit(test_share))
     group = (label,) if label else ()
-    thresholds = hash_thresholds(df, key, train, group, digits)
+    few = fits_broadcast(df.select(label).distinct()) if label else True
+    thresholds = hash_thresholds(df, key, train, group, digits, few)
     if label:
-        few = fits_broadcast(df.select(label).distinct())
         marked = lookup_join(df, thresholds, label, small=few)
         inside = hash_key(key) <= F.col("_threshold")
     else:
@@ -78,12 +92,17 @@ def stratified_split(
     return marked.withColumn("split", split).drop("_threshold")
 
 
-def hash_rank(df: DataFrame, key: str, group: tuple[str, ...] = (), digits: int = 3, name: str = "position") -> DataFrame:
+def hash_rank(
+    df: DataFrame, key: str, group: tuple[str, ...] = (), digits: int | None = None, name: str = "position",
+) -> DataFrame:
     """Exact rank by key hash within each group, from 1, however large a group is.
 
     Rows are shuffled by group and bucket, so the rows of a hot group spread over 16^digits
-    sorts; the ranks before each bucket come from the bucket counts.
+    sorts; the ranks before each bucket come from the bucket counts. By default the digits
+    follow from the row count.
     """
+    if digits is None:
+        digits = bucket_digits(df.count())
     keys = list(group)
     hashed = df.withColumn("_hash", hash_key(key))
     offsets = _bucket_offsets(hashed.select(*keys, "_hash"), keys, digits).select(*keys, "_bucket", "_before")
@@ -96,7 +115,7 @@ def hash_rank(df: DataFrame, key: str, group: tuple[str, ...] = (), digits: int
     )
 
 
-def weighted_bootstrap(orders: DataFrame, n: int | None = None, key: str = "order_id", digits: int = 3) -> DataFrame:
+def weighted_bootstrap(orders: DataFrame, n: int | None = None, key: str = "order_id", digits: int | None = None) -> DataFrame:
     """Draw rows with replacement, each with a chance proportional to its hour's weight.
 
     Weights depend on the hour only, so a draw is a point on a line of 24 stretches, each as
@@ -133,7 +152,7 @@ def weighted_bootstrap(orders: DataFrame, n: int | None = None, key: str = "orde
     return draws.join(numbered, ["hour", "position"]).select("draw", key, "created_at", "hour")
 
 
-def roster(df: DataFrame, group: str, member: str, digits: int = 2) -> DataFrame:
+def roster(df: DataFrame, group: str, member: str, digits: int | None = None) -> DataFrame:
     """The numbered members of every group, and the group size.
 
     One row per member instead of one list per group, so a group of any size is fine; a

@@ -67,7 +67,8 @@ def deliveries(spark: SparkSession, data_dir: str) -> DataFrame:
     nations = _read(spark, data_dir, "supplier").select(
         F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("nk")
     )
-    base = lookup_join(lookup_join(lines, heads, "ok", how="inner"), nations, "sk", how="inner")
+    base = lookup_join(lines, heads, "ok", how="inner")
+    base = lookup_join(base, nations, "sk", how="inner", keys_from=lines)
 
     keys = base.selectExpr(
         "*",
