@@ -7,6 +7,8 @@ be sorted to find the exact row.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lastleg import settings
@@ -28,7 +30,9 @@ def bucket_digits(rows: int) -> int:
 
 
 def hash_key(key: str) -> Column:
-    return F.concat(F.md5(F.col(key).cast("string")), F.col(key).cast("string"))
+    """Sort key of a row. It is never null, so no null check repeats the hash."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return F.concat(F.md5(text), text)
 
 
 def _bucket(digits: int) -> Column:
@@ -129,25 +133,29 @@ def weighted_bootstrap(orders: DataFrame, n: int | None = None, key: str = "orde
     tenths = F.rint(dates.hour_weight("hour") * 10.0).cast("bigint")
     hours = (
         orders.groupBy(F.hour("created_at").alias("hour")).agg(F.count("*").alias("rows"))
-        .where(F.col("hour").isNotNull()).withColumn("w", tenths)
-    )
-    # At most 24 entries, sorted by hour, each with the length of the line before it.
-    lengths = hours.agg(F.sort_array(F.collect_list(F.struct("hour", "w", (F.col("rows") * F.col("w")).alias("len")))).alias("h"))
-    line = F.transform("h", lambda x, i: F.struct(
-        x["hour"].alias("hour"), x["w"].alias("w"), x["len"].alias("len"),
-        F.aggregate(F.slice("h", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["len"]).alias("start"),
-    ))
-    plan = lengths.select(F.struct(
-        line.alias("line"),
-        F.aggregate("h", F.lit(0).cast("bigint"), lambda acc, y: acc + y["len"]).alias("total"),
-    )).scalar()
+        .where(F.col("hour").isNotNull()).withColumn("w", tenths).orderBy("hour")
+    ).collect()  # at most 24 rows
+    if not hours:
+        return orders.select(F.lit(0).cast("bigint").alias("draw"), key, "created_at", F.hour("created_at").alias("hour")).where("false")
+    ends = list(accumulate(r["rows"] * r["w"] for r in hours))
+    starts = [0, *ends[:-1]]
+
+    def per_hour(values: list[int], type_: str) -> Column:
+        out = F
+        for end, value in list(zip(ends, values))[:-1]:
+            out = out.when(F.col("_at") < end, F.lit(value).cast(type_))
+        last = F.lit(values[-1]).cast(type_)
+        return last if out is F else out.otherwise(last)
+
     word = F.conv(F.substring(F.md5(F.col("draw").cast("string")), 1, 14), 16, 10).cast("bigint")
-    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_plan", plan)
-    draws = draws.withColumn("_at", word % F.col("_plan.total")).select("draw", "_at", F.filter(
-        "_plan.line", lambda s: (s["start"] <= F.col("_at")) & (F.col("_at") < s["start"] + s["len"]))[0].alias("_s"))
-    draws = draws.select(
-        "draw", F.col("_s.hour").alias("hour"),
-        F.expr("(_at - _s.start) div _s.w + 1").alias("position"))
+    draws = spark.range(n).withColumnRenamed("id", "draw")
+    draws = draws.withColumn("_at", F.coalesce(word % F.lit(ends[-1]), F.lit(0).cast("bigint"))).withColumns({
+        "hour": per_hour([r["hour"] for r in hours], "int"),
+        "_start": per_hour(starts, "bigint"),
+        "_w": per_hour([r["w"] for r in hours], "bigint"),
+    })
+    place = F.coalesce(F.expr("(_at - _start) div _w"), F.lit(0).cast("bigint")) + 1
+    draws = draws.select("draw", "hour", place.alias("position"))
     numbered = hash_rank(orders.select(key, "created_at", F.hour("created_at").alias("hour")), key, ("hour",), digits)
     return draws.join(numbered, ["hour", "position"]).select("draw", key, "created_at", "hour")
 
