@@ -67,7 +67,7 @@ def compute_kpis(
         peak, off_peak = n, n
     days = F.greatest(dates.whole_days(F.min("created_at"), F.max("created_at")), F.lit(1))
     weather = (
-        py_round(ratio(F.count_if(F.col("weather_delay_min") > settings.WEATHER_IMPACT_MIN), n) * 100.0, 1)
+        ratio(F.count_if(F.col("weather_delay_min") > settings.WEATHER_IMPACT_MIN), n) * 100.0
         if "weather_delay_min" in has else F.lit(settings.KPI_DEFAULTS["weather_disruption_score"])
     )
     delay = exact_avg("delay_minutes", F.when(late, F.col("delay_minutes"))) if "delay_minutes" in has else F.lit(0.0)
@@ -76,11 +76,11 @@ def compute_kpis(
         np_round((F.lit(1.0) - ratio(late_sum, n)) * 100.0, 2).alias("on_time_delivery_rate"),
         np_round(exact_avg("actual_delivery_min"), 1).alias("avg_delivery_min"),
         np_round(ratio(breached, n) * 100.0, 2).alias("sla_breach_pct"),
-        py_round(F.coalesce(delay, F.lit(0.0)), 1).alias("avg_delay_minutes"),
+        F.coalesce(delay, F.lit(0.0)).alias("avg_delay_minutes"),
         _mean_or_default(rows, "route_efficiency_score", 3, "route_inefficiency_score").alias("route_inefficiency_score"),
         F.rint(ratio(n, days)).cast("bigint").alias("throughput_per_day"),
         _mean_or_default(rows, "prep_time_min", 1, "fulfillment_latency_min").alias("fulfillment_latency_min"),
-        py_round(ratio(peak, F.greatest(off_peak, F.lit(1))), 2).alias("peak_hour_stress_score"),
+        ratio(peak, F.greatest(off_peak, F.lit(1))).alias("peak_hour_stress_score"),
         _mean_or_default(rows, "total_cost_inr", 2, "cost_per_shipment_inr").alias("cost_per_shipment_inr"),
         _mean_or_default(rows, "congestion_factor", 3, "congestion_impact_factor").alias("congestion_impact_factor"),
         weather.alias("weather_disruption_score"),
@@ -94,6 +94,9 @@ def compute_kpis(
         "rider_utilization_pct": _rider_utilization(fleet),
         "dark_store_utilization_pct": _store_utilization(capacity),
     })
+    # Ratios of counts are scalar numbers: rounded last, on plain columns.
+    digits = {"avg_delay_minutes": 1, "peak_hour_stress_score": 2, "weather_disruption_score": 1, "rider_utilization_pct": 1}
+    facts = facts.withColumns({name: py_round(name, n) for name, n in digits.items()})
     return facts.select(*by, *KPI_NAMES)
 
 
@@ -113,7 +116,7 @@ def _rider_utilization(fleet: Column | None) -> Column:
     if fleet is None:
         return default
     monthly = fleet["active"] * F.lit(settings.RIDER_MAX_DAILY_DELIVERIES) * F.lit(30)
-    used = py_round(clip(ratio(F.col("total_orders_analyzed"), monthly), high=1.0) * 100.0, 1)
+    used = clip(ratio(F.col("total_orders_analyzed"), monthly), high=1.0) * 100.0
     return F.when(F.coalesce(fleet["riders"], F.lit(0)) == 0, default).otherwise(used)
 
 

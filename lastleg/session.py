@@ -78,6 +78,12 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lastleg/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
+def release_stages(spark: SparkSession) -> None:
+    """Delete what this application stored in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lastleg/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, cluster_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -4,7 +4,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lastleg.session import build_session
+from lastleg.session import build_session, release_stages
 from lastleg.sources import schemas
 
 DATA = "/root/testdata/sf0.001"
@@ -18,6 +18,7 @@ GIVEN = (
 def spark(tmp_path_factory):
     session = build_session("tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     yield session
+    release_stages(session)
     session.stop()
 
 
