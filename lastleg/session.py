@@ -33,10 +33,12 @@ def build_session(app: str = "lastleg", master: str = "local[8]", **conf: str) -
 #  - Timestamps carry no zone: the session is UTC.
 #  - The JVM compiles no method above 8000 bytes. Wide projections fused into one larger
 #    method would run interpreted, several times slower than unfused.
+#  - Files written by pandas may hold nanosecond timestamps; the reader turns them back.
 #  - Adaptive execution splits skewed shuffle partitions, also below an aggregate.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -140,11 +140,20 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
     """Cast the columns that are present to the declared types; keep any others as they are.
 
     A column that is missing stays missing, so rules for optional columns still see that.
+    Nanosecond timestamps arrive as numbers and become timestamps here.
     """
     declared = {f.name: f.type for f in table.fields}
-    return df.select(*[
-        F.col(c).cast(declared[c]).alias(c) if c in declared else F.col(c) for c in df.columns
-    ])
+    stored = dict(df.dtypes)
+
+    def column(c: str):
+        if c not in declared:
+            return F.col(c)
+        value = F.col(c)
+        if stored[c] == "bigint" and declared[c] in ("TIMESTAMP", "DATE"):
+            value = F.timestamp_micros(F.expr(f"`{c}` div 1000"))
+        return value.cast(declared[c]).alias(c)
+
+    return df.select(*[column(c) for c in df.columns])
 
 
 def apply_defaults(df: DataFrame, table: Table) -> DataFrame:

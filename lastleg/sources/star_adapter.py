@@ -25,6 +25,12 @@ def _read(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for an input in a few small files; a large input has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _cut(key: str, *cases: tuple[int, object], other: object) -> Column:
     """First case whose upper limit is above the key."""
     out = None
@@ -61,13 +67,14 @@ def deliveries(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk"),
         F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"), "l_returnflag",
     )
+    spread_lines = _spread(lines, "ok", "ln")
     heads = _read(spark, data_dir, "orders").select(
         F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), "o_orderdate", "o_orderpriority",
     )
     nations = _read(spark, data_dir, "supplier").select(
         F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("nk")
     )
-    base = lookup_join(lines, heads, "ok", how="inner")
+    base = lookup_join(spread_lines, heads, "ok", how="inner", keys_from=lines)
     base = lookup_join(base, nations, "sk", how="inner", keys_from=lines)
 
     keys = base.selectExpr(

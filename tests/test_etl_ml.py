@@ -53,6 +53,21 @@ def test_time_filter_skips_day_folders(spark, built):
     assert recent.count() == filters.last_days(stored.drop("order_date"), 30).count()
 
 
+def test_reads_files_written_by_pandas(spark, tmp_path):
+    import pandas as pd
+    frame = pd.DataFrame({
+        "order_id": ["ORD1"], "created_at": pd.to_datetime(["2024-02-03 04:05:06"]).astype("datetime64[ns]"),
+        "total_cost_inr": [41.25], "is_late": [1], "other": ["kept"]})
+    frame.to_parquet(tmp_path / "orders.parquet", index=False)
+    pd.DataFrame({"rider_id": ["R1"], "join_date": pd.to_datetime(["2022-01-05"]).astype("datetime64[ns]")}).to_parquet(
+        tmp_path / "riders.parquet", index=False)
+    df = tables.read_table(spark, str(tmp_path), "orders")
+    assert dict(df.dtypes) == {
+        "order_id": "string", "created_at": "timestamp", "total_cost_inr": "decimal(8,2)", "is_late": "int", "other": "string"}
+    assert str(df.first().created_at) == "2024-02-03 04:05:06"
+    assert str(tables.read_table(spark, str(tmp_path), "riders").first().join_date) == "2022-01-05"
+
+
 def test_missing_orders_stop_the_chain(spark, tmp_path):
     with pytest.warns(UserWarning), pytest.raises(ValueError, match="Orders dataset missing"):
         etl.run(spark, str(tmp_path))
