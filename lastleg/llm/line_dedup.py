@@ -99,13 +99,13 @@ def removed_spans(docs: DataFrame, min_words: int) -> DataFrame:
     return grouped.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with repeated runs cut from ``text``, and ``removed_spans``, an array of (lo, hi), null if none."""
+def dedup_lines(docs: DataFrame, min_words: int = 50, spans_column: str = "removed_spans") -> DataFrame:
+    """``docs`` with repeated runs cut from ``text``, and the line spans cut, an array of (lo, hi), null if none."""
     spans = stage(removed_spans(docs.select("doc_id", "text"), min_words), "removed_spans").select(
         F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"),
     )
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
     kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists("__spans", lambda s: i.between(s["lo"], s["hi"])))
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    return docs.join(spans, same, "left").select(*others, F.col("__spans").alias("removed_spans"))
+    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != spans_column]
+    return docs.join(spans, same, "left").select(*others, F.col("__spans").alias(spans_column))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastleg.llm import line_dedup, simhash
-from lastleg.llm.common import table
+from lastleg.llm import ann_forest, language_id, line_dedup, mixing, packing, pivot_index, sharding, simhash, toxicity, url_filter
+from lastleg.llm.common import id_fold, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,15 +14,77 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = id_fold(F.col("doc_id"), 4)
+    predicted = language_id.predict(docs, language_id.fit(docs, fold != 2))
+    return predicted.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(table(spark, sf_dir, "documents"), repetition_limit=1.5)
+    return plan.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), "tokens", "epoch", "block", "mix_key")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = id_fold(F.col("doc_id"), 3) != 1
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return scored.select(
+        F.col("d").alias("doc_id"), F.coalesce(id_fold(F.col("d"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("evidence.id").alias("neighbours"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset",
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["lo"], s["hi"])), ",")
     return done.select("doc_id", "text", F.coalesce(spans, F.lit("")).alias("removed"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivot_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
+    "op3_urls": op3_urls,
+    "op4_ann": op4_ann,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_topk": op10_topk,
 }
 
 # A line goes if a window of 50 words or more around it, of shortest length, occurred before.
@@ -50,4 +112,15 @@ FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id AND d.text = r.text
 LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """
 
-ORACLES = {"op8_line_dedup": _LINE_DEDUP}
+_TOPK = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op10_topk": _TOPK, "op8_line_dedup": _LINE_DEDUP}
