@@ -108,4 +108,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, spans_column: str = "remov
     kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists("__spans", lambda s: i.between(s["lo"], s["hi"])))
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != spans_column]
-    return docs.join(spans, same, "left").select(*others, F.col("__spans").alias(spans_column))
+    # always a merge join: spans grow with the corpus, so a broadcast would only suit small inputs
+    return docs.join(spans.hint("merge"), same, "left").select(*others, F.col("__spans").alias(spans_column))
