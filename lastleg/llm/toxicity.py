@@ -9,7 +9,7 @@ regression over the examples' own leave-one-out votes, weighted back to the labe
 shares, turns the vote into a probability.
 
 What is bounded: examples, at most ``max_examples`` of each label (those with the smallest hash of
-doc_id), and terms, at most ``max_terms``, which must depend on the label in the examples (chi-squared of
+doc_id; equal texts are one example), and terms, at most ``max_terms``, which must depend on the label in the examples (chi-squared of
 25 or more, one in two million by chance). Document frequencies are counted over all documents, and every whole text is scored.
 
 Defined cases: a null or empty text, or one without a term of the vocabulary, gets the calibrated share of
@@ -138,6 +138,19 @@ def _terms(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, "d long, t long, terms array<int>, counts array<int>")
 
 
+def _document_counts(featured: DataFrame, terms: int) -> DataFrame:
+    """(term, n): documents with each term of the vocabulary, counted in every task before they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=terms)[:terms]
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["term", "n"])
+
+    return featured.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _sample(labels: DataFrame, learn: Column, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
     """(id, label) of the examples, and the number of labelled documents by label."""
     known = (
@@ -179,11 +192,11 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
     spark = docs.sparkSession
     chosen, shares = _sample(labels, learn, max_examples)
     examples = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(F.broadcast(chosen), F.col("x") == F.col("id"))
-    texts = stage(examples.groupBy("id", "label").agg(F.min("text").alias("text")), "examples")
+    texts = stage(examples.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
     vocabulary = _vocabulary(texts, max_terms)
     featured = stage(_terms(docs, vocabulary), "terms")
     size = featured.count()
-    seen = {r["term"]: r["n"] for r in featured.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    seen = {r["term"]: r["n"] for r in _document_counts(featured, len(vocabulary)).collect()}
     idf = np.array([np.log((1 + size) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
     rows = _terms(texts.select(F.col("id").alias("doc_id"), "text"), vocabulary).join(texts.select("id", "label"), F.col("d") == F.col("id"))
     shared = spark.sparkContext.broadcast(_fit(rows.select("id", "label", "terms", "counts").orderBy("id").collect(), idf, shares, k))
