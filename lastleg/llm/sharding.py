@@ -6,7 +6,7 @@ the shard is highest, among the shards it fits into if there are any.
 
 The placement sees a bounded number of items at any corpus size: ``bundles`` hash classes of groups, and
 groups that would take over half a shard by any measure, of which there are at most six for each
-shard. Only those are split, by a hash of doc_id into parts of at most about half a shard; every other group stays in one
+shard. Only those are split, by a hash of doc_id into parts of about an eighth of a shard; every other group stays in one
 shard. Bytes are near equal as long as no single bundle is a large part of a shard.
 
 Defined cases: a null text has 8 bytes, no tokens and the checksum of an empty text; repeated rows are
@@ -58,8 +58,8 @@ def place(docs: DataFrame, shards: int = 24, bundles: int = 6144) -> DataFrame:
     total = base.agg(*sums).first()
     share = {m: max(total[m] or 0, 1) / shards for m in _MEASURES}
     groups = base.groupBy("g").agg(*sums)
-    part_count = F.ceil(2 * F.greatest(*[F.col(m) / share[m] for m in _MEASURES])).cast("long")
-    large = stage(groups.select(F.col("g").alias("big"), part_count.alias("parts")).filter("parts > 1"), "large_groups")
+    taken = F.greatest(*[F.col(m) / share[m] for m in _MEASURES])
+    large = stage(groups.filter(taken > 0.5).select(F.col("g").alias("big"), F.ceil(8 * taken).cast("long").alias("parts")), "large_groups")
     # at most 2 * shards large groups for each of the three measures
     split = base.join(F.broadcast(large), F.col("g") == F.col("big"), "left")
     keyed = split.withColumn(
