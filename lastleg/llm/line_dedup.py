@@ -14,7 +14,7 @@ runs of ``min_words`` words or more are guaranteed to share one.
    first occurrence of a run stays.
 
 So a line goes exactly if it lies in a run of ``min_words`` words or more that occurred earlier, within
-the same document too. Line order of what stays is kept.
+the same document too; blank lines go with the lines on both sides. Line order of what stays is kept.
 
 All steps are DataFrame operations. No pairs are formed: each window meets one first window, so
 a line that a third of all documents share costs one row for each of them. The two tables that meet
@@ -41,7 +41,7 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: document (d, t), position, hash, words, words before it."""
+    """One row for each line with a word: document (d, t), position, hash, words, words before it, number."""
     exploded = docs.select(
         F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"),
     ).select("d", "t", "pos", F.xxhash64(F.trim("line")).alias("h"), F.regexp_count("line", F.lit(r"[^ \t\r]+")).alias("words"))
@@ -49,31 +49,34 @@ def line_table(docs: DataFrame) -> DataFrame:
         exploded.filter("words > 0").repartition(*_DOC).groupBy(*_DOC, "pos")
         .agg(F.first("h").alias("h"), F.first("words").cast("long").alias("words"))
     )
-    so_far = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return one.withColumn("upto", F.sum("words").over(so_far)).withColumn("before", F.col("upto") - F.col("words"))
+    in_order = Window.partitionBy(*_DOC).orderBy("pos")
+    upto = F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    counted = one.withColumns({"upto": upto, "number": F.row_number().over(in_order)})
+    return counted.withColumn("before", F.col("upto") - F.col("words"))
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Forward and backward windows: (d, t, lo, hi, fp, fp_pos, content)."""
+    """Forward and backward windows: (d, t, lo, hi, first, last, fp, fp_pos, content); first and last number the lines with words."""
     ahead = Window.partitionBy(*_DOC).orderBy("before").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(-(min_words - 1), 0)
 
     def of(w) -> Column:
         return F.struct(
             F.min("pos").over(w).alias("lo"), F.max("pos").over(w).alias("hi"), F.sum("words").over(w).alias("n"),
+            F.min("number").over(w).alias("first"), F.max("number").over(w).alias("last"),
             F.min(F.struct("h", "pos")).over(w).alias("least"), F.xxhash64(F.collect_list("h").over(w)).alias("content"),
         )
 
     wide = lines.select(*_DOC, of(ahead).alias("a"), of(behind).alias("b"))
     both = wide.select(*_DOC, F.explode(F.array("a", "b")).alias("w")).filter(F.col("w.n") >= min_words)
     return both.select(
-        *_DOC, F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), F.col("w.least.h").alias("fp"),
+        *_DOC, "w.lo", "w.hi", "w.first", "w.last", F.col("w.least.h").alias("fp"),
         F.col("w.least.pos").alias("fp_pos"), F.col("w.content").alias("content"),
     ).distinct()
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, t, lo, hi) of every window that occurred before."""
+    """(d, t, lo, hi, first, last) of every window that occurred before."""
     found = stage(windows(line_table(docs), min_words), "windows")
     place = F.struct("d", "t", "fp_pos")
     shared = stage(
@@ -81,20 +84,20 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     )
     matched = stage(found.join(shared, "fp", "left_semi"), "candidates")
     first = stage(
-        matched.groupBy("fp", "content").agg(F.min(F.struct("d", "t", "lo", "hi")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").select(F.col("fp").alias("f"), F.col("content").alias("c"), "first"), "first_windows",
+        matched.groupBy("fp", "content").agg(F.min(F.struct("d", "t", "lo", "hi")).alias("earliest"), F.count("*").alias("n"))
+        .filter("n > 1").select(F.col("fp").alias("f"), F.col("content").alias("c"), "earliest"), "first_windows",
     )
     again = matched.join(first, (F.col("fp") == F.col("f")) & (F.col("content") == F.col("c")))
-    earlier = F.struct("d", "t", "lo", "hi") > F.col("first")
-    return again.filter(earlier).select(*_DOC, "lo", "hi")
+    later = F.struct("d", "t", "lo", "hi") > F.col("earliest")
+    return again.filter(later).select(*_DOC, "lo", "hi", "first", "last")
 
 
 def removed_spans(docs: DataFrame, min_words: int) -> DataFrame:
     """(d, t, spans): the maximal line intervals to delete from each document."""
     spans = repeated_windows(docs, min_words).distinct()
     by_start = Window.partitionBy(*_DOC).orderBy("lo", "hi")
-    reach = F.max("hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("new", (F.coalesce(F.col("lo") > reach + 1, F.lit(True))).cast("int"))
+    reach = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("new", (F.coalesce(F.col("first") > reach + 1, F.lit(True))).cast("int"))
     grouped = opened.withColumn("g", F.sum("new").over(by_start)).groupBy(*_DOC, "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return grouped.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 

@@ -92,7 +92,9 @@ _LINE_DEDUP = r"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
 split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs),
 lines AS (SELECT *, len(regexp_extract_all(line, '[^ \t\r]+')) AS words FROM split),
-summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos) AS upto FROM lines WHERE words > 0),
+summed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos) AS upto, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS number
+  FROM lines WHERE words > 0),
 windows AS (
   SELECT doc_id, text, min(pos) OVER w AS lo, max(pos) OVER w AS hi, sum(words) OVER w AS n, list(trim(line)) OVER w AS content
   FROM summed WINDOW w AS (PARTITION BY doc_id, text ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
@@ -100,9 +102,12 @@ windows AS (
   SELECT doc_id, text, min(pos) OVER w, max(pos) OVER w, sum(words) OVER w, list(trim(line)) OVER w
   FROM summed WINDOW w AS (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo, hi) AS r FROM windows WHERE n >= 50),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(lo, hi + 1)) AS pos FROM ranked WHERE r > 1),
-islands AS (SELECT doc_id, text, pos, pos - row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS g FROM gone),
+hit AS (
+  SELECT DISTINCT s.doc_id, s.text, s.pos, s.number FROM summed s
+  JOIN ranked w ON s.doc_id = w.doc_id AND s.text = w.text AND s.pos BETWEEN w.lo AND w.hi WHERE w.r > 1),
+islands AS (SELECT *, number - row_number() OVER (PARTITION BY doc_id, text ORDER BY number) AS g FROM hit),
 spans AS (SELECT doc_id, text, g, min(pos) AS lo, max(pos) AS hi FROM islands GROUP BY 1, 2, 3),
+gone AS (SELECT doc_id, text, unnest(range(lo, hi + 1)) AS pos FROM spans),
 removed AS (SELECT doc_id, text, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM spans GROUP BY 1, 2),
 kept AS (
   SELECT s.doc_id, s.text, string_agg(s.line, chr(10) ORDER BY s.pos) AS rest FROM split s
