@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,20 @@ from pyspark.sql.window import Window
 from lastleg.session import stage
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the program's folder.
+
+    It is enough where workers see that folder; elsewhere ship the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,4 +57,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
     return placed.join(right, same).select(*df.columns, (F.col("__start") + F.col("__rank")).cast("long").alias(out))
 
 
-__all__ = ["id_fold", "numbered", "stage", "table"]
+__all__ = ["find_package", "id_fold", "numbered", "stage", "table"]
