@@ -128,4 +128,43 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op10_topk": _TOPK, "op8_line_dedup": _LINE_DEDUP}
+# The same rules as literals; components by walking all edges.
+_URLS = r"""
+WITH RECURSIVE linked AS (
+  SELECT url, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) AS link
+  FROM pages),
+absolute AS (
+  SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'x:' || link
+    WHEN starts_with(link, '/') THEN 'x://' || host || link
+    ELSE 'x://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS link
+  FROM (SELECT *, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS host,
+          regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM linked WHERE link <> '')),
+parts AS (
+  SELECT DISTINCT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_filter(string_split(substr(coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1), ''), 2), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')) AS query
+  FROM (SELECT url FROM pages UNION SELECT link FROM absolute)),
+known AS (
+  SELECT url, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS address FROM parts),
+edges AS (
+  SELECT a.address AS a, b.address AS b FROM absolute x JOIN known a ON a.url = x.url JOIN known b ON b.url = x.link WHERE a.address <> b.address),
+reached AS (
+  SELECT a AS node, a AS seen FROM edges UNION SELECT b, b FROM edges
+  UNION SELECT r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reached r JOIN edges e ON r.seen IN (e.a, e.b)),
+classes AS (SELECT node, min(seen) AS component FROM reached GROUP BY node),
+rules AS (FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(action, host, path)),
+fitting AS (
+  SELECT k.url, r.host || r.path AS rule, r.action, row_number() OVER (PARTITION BY k.url ORDER BY length(r.host || r.path) DESC) AS n
+  FROM known k JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)),
+judged AS (
+  SELECT p.page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, f.rule, f.action, coalesce(c.component, k.address) AS alias
+  FROM pages p LEFT JOIN known k ON k.url = p.url LEFT JOIN fitting f ON f.url = p.url AND f.n = 1 LEFT JOIN classes c ON c.node = k.address)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.action, d.decision, 'allow') AS verdict, j.alias
+FROM judged j LEFT JOIN (SELECT alias, min(action) AS decision FROM judged GROUP BY alias) d ON d.alias = j.alias
+"""
+
+ORACLES = {"op3_urls": _URLS, "op10_topk": _TOPK, "op8_line_dedup": _LINE_DEDUP}

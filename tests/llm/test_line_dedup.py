@@ -17,8 +17,11 @@ def slow(docs, min_words):
                 run = tuple(r[1] for r in rows[a:b + 1])
                 if total >= min_words:
                     if run in seen and seen[run] != (key, a):
-                        gone.setdefault(key, set()).update(range(rows[a][0], rows[b][0] + 1))
+                        gone.setdefault(key, set()).update(r[0] for r in rows[a:b + 1])
                     seen.setdefault(run, (key, a))
+        for (i, *_), (j, *_) in zip(rows, rows[1:], strict=False):
+            if {i, j} <= gone.get(key, set()):
+                gone[key].update(range(i, j))
     return {k: k[1] if k not in gone else "\n".join(s for i, s in enumerate(k[1].split("\n")) if i not in gone[k]) for k in keys}
 
 
