@@ -58,14 +58,15 @@ def text_fingerprint(text: str | None, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, t, fp) of every row; t is the text's hash, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([text_fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
+            fps = np.array([text_fingerprint(t.as_py(), shingle_words) for t in batch.column(2)], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], ["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.col("text").cast("string")]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def covering_masks(radius: int, level: int) -> list[int]:
@@ -138,7 +139,7 @@ def covering_edges(nodes: DataFrame, radius: int, max_bucket: int = 2048) -> Dat
     Inside a bucket every cluster gives a star, so edges grow with the bucket, not its square.
     """
     mask_columns = [F.lit(m) for m in covering_masks(radius, 0)]
-    rows = _spread(nodes.select("fp", "node", F.lit(0).alias("table"), F.lit(0).cast("long").alias("mask")), mask_columns)
+    rows = _spread(nodes.select("fp", "node", F.lit(0).cast("long").alias("table"), F.lit(0).cast("long").alias("mask")), mask_columns)
     found = None
     level = 0
     while True:
@@ -165,20 +166,23 @@ def _spread(rows: DataFrame, masks: list[Column]) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, radius: int = 4, max_bucket: int = 2048) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component is its smallest doc_id."""
+    """(doc_id, t, fp, component_id) of every row; the component is its smallest doc_id."""
     prints = stage(fingerprints(docs, shingle_words), "fingerprints")
     nodes = stage(prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct_fingerprints")
     linked = stage(connected_components(covering_edges(nodes, radius, max_bucket), "a", "b"), "components")
     joined = nodes.join(linked, "node", "left").select(F.col("fp").alias("known"), F.coalesce("component", "node").alias("component_id"))
     classes = stage(joined, "classes")
-    return prints.join(classes, F.col("fp") == F.col("known"), "left").select("doc_id", "fp", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("known"), "left").select("doc_id", "t", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, all columns as they are.
 
-    Rows without doc_id belong to no group and stay; rows that repeat a kept doc_id stay too.
+    Rows without doc_id belong to no group and stay; a kept row that is repeated stays repeated. Rows
+    that share a doc_id but not the text are judged each by its text.
     """
     groups = near_groups(docs.select("doc_id", "text"), shingle_words, radius)
-    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__copy"))
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"))
+    # always a merge join: copies grow with the corpus, so a broadcast would only suit small inputs
+    same = (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    return docs.join(copies.hint("merge"), same, "left_anti")

@@ -248,4 +248,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, threshold: flo
     """The rows of ``docs`` scored below ``threshold``, all columns as they are."""
     scored = stage(score(docs, labels, learn).filter(F.col("score") >= threshold).select("d", "t"), "rejected")
     bad = scored.select(F.col("d").alias("__d"), F.col("t").alias("__t"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    # always a merge join: rejections grow with the corpus, so a broadcast would only suit small inputs
+    return docs.join(bad.hint("merge"), same, "left_anti")
