@@ -60,14 +60,14 @@ def labels() -> dict[str, Column]:
     }
 
 
-def row_derivations(orders: DataFrame) -> DataFrame:
+def row_derivations(orders: DataFrame, forced: Column, failed: Column) -> DataFrame:
     """Recompute the derived columns of each order from its base columns.
 
-    ``status`` keeps a recorded failure and lateness takes the recorded flag as the forced
-    one, since both started as draws outside the row.
+    ``forced`` and ``failed`` are draws outside the row: a delivery late for another reason
+    than its duration, and a failed one.
     """
     calendar = calendar_columns()
-    late, delay = lateness(F.col("is_late") == 1)
+    late, delay = lateness(forced)
     return orders.select(
         "order_id",
         *[c.alias(name) for name, c in calendar.items()],
@@ -76,5 +76,5 @@ def row_derivations(orders: DataFrame) -> DataFrame:
         delay.alias("delay_minutes"),
         np_round(dbl("actual_delivery_min") - dbl("prep_time_min"), 1).alias("travel_time_min"),
         np_round(order_cost(calendar["is_peak_hour"] == 1), 4).alias("distance_cost_inr"),
-        delivery_status(F.col("status") == "failed", late == 1).alias("status"),
+        delivery_status(failed, late == 1).alias("status"),
     )

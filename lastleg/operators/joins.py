@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lastleg.session import stage
+
 # A lookup of at most this many (narrow) rows is sent to every executor; a larger one is
 # shuffled.
 BROADCAST_ROWS = 250_000
@@ -15,7 +17,7 @@ SALTS = 4096
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count the rows, distributed; for a Parquet table this reads file footers only."""
+    """Count the rows of a stored table: this reads file footers only."""
     return df.count() <= max_rows
 
 
@@ -31,7 +33,8 @@ def lookup_join(
 ) -> DataFrame:
     """Attach lookup columns to facts; ``lookup`` has one row per key.
 
-    A lookup whose size is checked to be small is broadcast, so the facts do not move.
+    A lookup of unknown size is stored and counted, so what derives it runs once. One that
+    is small is broadcast, so the facts do not move.
     Otherwise both sides are shuffled on the key, except the rows of hot keys: their lookup
     rows are few (bounded by 1 / hot_share), so only those are broadcast, and the hot fact
     rows are spread over all partitions. Null keys, which match nothing, are spread too.
@@ -45,6 +48,7 @@ def lookup_join(
         raise ValueError(f"unsupported join type: {how}")
     keys = [on] if isinstance(on, str) else list(on)
     if small is None:
+        lookup = stage(lookup, "lookup")
         small = fits_broadcast(lookup)
     if small:
         return facts.join(F.broadcast(lookup), keys, how)

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_on_release: list[Callable[[str], None]] = []
 
 
 def build_session(app: str = "lastleg", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -80,22 +82,41 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lastleg/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
+def on_release(forget: Callable[[str], None]) -> None:
+    """Have ``forget(application id)`` called when an application's stored tables are deleted."""
+    _on_release.append(forget)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def release_stages(spark: SparkSession) -> None:
-    """Delete what this application stored in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lastleg/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what this application stored in the shared folder, and forget the tables and models over it."""
+    application = spark.sparkContext.applicationId
+    delete_path(spark, f"{shared_dir(spark)}/lastleg/{application}")
+    for forget in _on_release:
+        forget(application)
 
 
-def stage(df: DataFrame, name: str, cluster_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, folders_by: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage for tables with several consumers: each of them then scans only the
     columns it needs, and a lost executor costs a re-read instead of a recomputation.
-    ``cluster_by`` adds a rebalance, so files hold ranges of similar keys, a hot key is
-    split over several files, and small partitions are merged.
+    ``folders_by`` makes one folder for each value of a column, so filters on it skip files;
+    a rebalance splits a hot value over several files and merges small partitions.
     """
     spark = df.sparkSession
-    path = new_stage_path(spark, name)
-    out = df.hint("rebalance", cluster_by) if cluster_by else df
-    out.write.mode("overwrite").parquet(path)
+    path = path or new_stage_path(spark, name)
+    if folders_by:
+        df.hint("rebalance", folders_by).write.mode("overwrite").partitionBy(folders_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,10 +25,15 @@ def _read(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
+# An input below this size is dealt to all cores; moving it costs next to nothing.
+SMALL_BYTES = 256 * 2**20
+
+
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for an input in a few small files; a large input has splits enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Use all cores for an input in a few small files; a large one stays in its splits."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _cut(key: str, *cases: tuple[int, object], other: object) -> Column:
@@ -57,12 +62,16 @@ def _scaled(c: Column, digits: int) -> Column:
     return c.cast("decimal(9,0)") * F.lit(Decimal(1).scaleb(-digits))
 
 
-def _select(df: DataFrame, table: Table, columns: dict[str, Column]) -> DataFrame:
-    return df.select(*[columns[f.name].cast(f.type).alias(f.name) for f in table.fields if f.name in columns])
+def _select(df: DataFrame, table: Table, columns: dict[str, Column], **others: Column) -> DataFrame:
+    declared = [columns[f.name].cast(f.type).alias(f.name) for f in table.fields if f.name in columns]
+    return df.select(*declared, *[c.alias(n) for n, c in others.items()])
 
 
 def deliveries(spark: SparkSession, data_dir: str) -> DataFrame:
-    """One row per line item, with repeated order ids as they come."""
+    """One row per line item, with repeated order ids as they come.
+
+    ``forced_late`` and ``delivery_failed`` are the draws behind lateness and status.
+    """
     lines = _read(spark, data_dir, "lineitem").select(
         F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk"),
         F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"), "l_returnflag",
@@ -144,7 +153,7 @@ def deliveries(spark: SparkSession, data_dir: str) -> DataFrame:
         "day_of_week": dates.weekday0("created_at"),
         "month": F.month("created_at"),
         "is_weekend": dates.weekday0("created_at") >= 5,
-    })
+    }, forced_late=F.expr("kf = 0"), delivery_failed=F.expr("kf = 1"))
 
 
 def riders(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -209,3 +218,34 @@ def dim_cities(spark: SparkSession) -> DataFrame:
         F.col("lon").cast("decimal(9,6)").alias("longitude"),
         "zones", "weight",
     )
+
+
+# Values no table may hold, by table and column, with the remainder of the key's number by 13 at which they
+# stand; None takes the value away.
+VIOLATIONS = {
+    "orders": {"order_type": (0, "drone"), "status": (1, "lost"), "city": (2, None), "created_at": (3, None),
+               "sla_minutes": (4, None), "order_id": (5, None)},
+    "riders": {"vehicle_type": (0, "Horse"), "shift_type": (1, "Never"), "rider_id": (2, None)},
+    "dark_stores": {"tier": (0, "Tier-9"), "latitude": (1, None), "store_id": (2, None), "longitude": (3, None), "max_capacity": (4, None)},
+    "weather": {"condition": (0, "hail"), "timestamp": (1, None)},
+    "dim_cities": {"tier": (0, "Tier-9"), "latitude": (5, None), "city_name": (6, None), "longitude": (7, None)},
+}
+
+
+def with_violations(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The raw tables with a share of wrong and missing values, for quality reports that find something."""
+    number = {
+        "orders": F.substring("order_id", 4, 20).cast("bigint"), "riders": F.substring("rider_id", 2, 20).cast("bigint"),
+        "dark_stores": F.substring("store_id", 3, 20).cast("bigint"), "weather": F.hour("timestamp").cast("bigint"),
+        "dim_cities": F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(CITY_NAMES) for x in (n, i)]), F.col("city_name")),
+    }
+    tables = {**raw, "dim_cities": raw["dim_cities"].withColumn("tier", F.lit("Tier-1"))}
+    out = {}
+    for name, df in tables.items():
+        keyed = df.withColumn("_number", number[name] % 13)
+        types = dict(df.dtypes)
+        wrong = {
+            c: F.when(F.col("_number") == at, F.lit(value).cast(types[c])).otherwise(F.col(c)) for c, (at, value) in VIOLATIONS[name].items()
+        }
+        out[name] = keyed.withColumns(wrong).drop("_number")
+    return out

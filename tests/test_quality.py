@@ -7,7 +7,7 @@ from lastleg.sources import schemas
 
 
 def test_missing_table_and_columns_are_named(make_orders):
-    with pytest.raises(ValueError, match="Orders dataset missing"):
+    with pytest.raises(ValueError, match="no orders table"):
         quality.require_orders({})
     with pytest.raises(ValueError, match="rider_id"):
         quality.require_orders({"orders": make_orders({}, drop=("rider_id",))})

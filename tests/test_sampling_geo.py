@@ -4,7 +4,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from lastleg.operators import geo, sampling
+from lastleg.operators import metrics, geo, sampling
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,9 @@ def test_zones(make_orders):
 def test_equal_distance_goes_to_the_first_centre(make_orders):
     row = make_orders({"delivery_lat": D("1.0"), "delivery_lon": D("0.0")}).select(geo.nearest_centre([(2.0, 0.0), (0.0, 0.0)]).alias("c")).first()
     assert row.c == 0
+
+
+def test_crowded_scores_have_no_hot_range(spark):
+    crowded = spark.range(200_000).selectExpr("pow(id / 200000D, 8) AS s")
+    sizes = metrics.score_ranges(crowded, "s").groupBy("bucket").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 0.02 * 200_000
