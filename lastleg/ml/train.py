@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,23 +17,29 @@ from lastleg.functions.text import fixed, percent, title_case
 from lastleg.ml.prepare import CITY_CODE, feature_rows
 from lastleg.operators import derive
 from lastleg.operators.metrics import classification_metrics, regression_metrics
-from lastleg.operators.sampling import hash_sample, stratified_split
-from lastleg.session import enable_checkpoints
+from lastleg.operators.sampling import stratified_split
+from lastleg.session import enable_checkpoints, stage
 
 RESULT_SCHEMA = (
-    "model string, accuracy double, roc_auc double, precision double, recall double, f1 double,"
+    "model string, population string, accuracy double, roc_auc double, precision double, recall double, f1 double,"
     " mae_minutes double, r2 double, n_train bigint, n_test bigint,"
     " top_features array<struct<feature: string, importance: double>>"
 )
 LATE, BREACH, DELAY, CONGESTION = "late_delivery", "sla_breach", "delay_estimation", "congestion_risk"
 
 
+ALL_ORDERS, LATE_ORDERS = "all orders", "late orders"
+
+
 @dataclass
 class Trained:
     name: str
     model: PipelineModel
     features: list[str]
     metrics: dict
+    population: str = ALL_ORDERS
+    n_train: int = 0
+    n_test: int = 0
 
     def importances(self) -> list[tuple[str, float]]:
         """All features, most important first."""
@@ -43,7 +50,7 @@ class Trained:
         m = self.metrics
         top = self.importances()[:10] if self.name == LATE else None
         return (
-            self.name, m.get("accuracy"), m.get("roc_auc"), m.get("precision"), m.get("recall"), m.get("f1"),
+            self.name, self.population, m.get("accuracy"), m.get("roc_auc"), m.get("precision"), m.get("recall"), m.get("f1"),
             m.get("mae_minutes"), m.get("r2"), m.get("n_train"), m.get("n_test"), top,
         )
 
@@ -54,16 +61,37 @@ def _pipeline(features: list[str], estimator) -> Pipeline:
     return Pipeline(stages=[city, assembler, estimator])
 
 
-def _fit(name: str, df: DataFrame, label: str, estimator, exclude: tuple[str, ...], stratify: bool) -> Trained:
+@dataclass
+class ModelTable:
+    """Imputed features and all labels of the orders, stored once for every model."""
+
+    rows: DataFrame
+    features: list[str]
+
+
+def model_table(df: DataFrame) -> ModelTable:
+    rows, features = feature_rows(df)
+    labels = derive.labels()
+    stored = stage(rows.select(
+        "order_id", "city", *features, F.col("is_late").cast("double").alias("_late"),
+        *[labels[c].cast("double").alias(f"_{c}") for c in ("sla_breach", "high_congestion", "delay_target")]), "model_table")
+    return ModelTable(stored, features)
+
+
+def _fit(name: str, table: ModelTable, label: str, estimator, exclude: tuple[str, ...], stratify: bool,
+         population: str = ALL_ORDERS) -> Trained:
     """Split, fit on the training rows and evaluate on the others.
 
     Tree learners pass over the training rows many times, so these are kept in memory and on
-    disk; what an executor loses is recomputed.
+    disk; what an executor loses is read again from the stored table.
     """
-    enable_checkpoints(df.sparkSession)
-    rows, features = feature_rows(df, exclude)
-    inputs = rows.select("order_id", "city", *features, F.col(label).cast("double").alias("label"))
-    split = stratified_split(inputs, "order_id", "label" if stratify else None).persist()
+    enable_checkpoints(table.rows.sparkSession)
+    features = [c for c in table.features if c not in exclude]
+    chosen = table.rows.where("_late = 1") if population == LATE_ORDERS else table.rows
+    inputs = chosen.select("order_id", "city", *features, F.col(label).alias("label"))
+    # thousands of short passes: a partition below this size costs more to start than to read
+    parts = -(-table.rows.count() // ROWS_PER_PARTITION)
+    split = stratified_split(inputs, "order_id", "label" if stratify else None).coalesce(max(1, parts)).persist()
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     try:
         model = _pipeline(features, estimator.setLabelCol("label").setFeaturesCol("features")).fit(train)
@@ -74,54 +102,60 @@ def _fit(name: str, df: DataFrame, label: str, estimator, exclude: tuple[str, ..
             scored = scored.select("label", vector_to_array("probability")[1].alias("p")).persist()
             metrics = classification_metrics(scored, "label", "p").first().asDict()
             scored.unpersist()
-        metrics["n_test"] = metrics.pop("n")
-        metrics["n_train"] = train.count()
+        n_test, n_train = metrics.pop("n"), train.count()
+        metrics.update(n_train=n_train, n_test=n_test)
     finally:
         split.unpersist()
     if name != LATE:
         metrics = {k: metrics[k] for k in ("accuracy", "roc_auc", "mae_minutes", "r2") if k in metrics}
-    return Trained(name, model, features, metrics)
+    return Trained(name, model, features, metrics, population, n_train, n_test)
+
+
+# Node ids stay with the rows instead of walking each tree again; one pass over the rows
+# gathers the statistics of as many nodes as this memory holds.
+ROWS_PER_PARTITION = 20_000
+TREE_LEARNING = {"cacheNodeIds": True, "checkpointInterval": 25, "maxMemoryInMB": 512}
 
 
 def _boosted(iterations: int | None) -> GBTClassifier:
     params = dict(settings.BOOSTED_TREES)
     if iterations:
         params["maxIter"] = iterations
-    return GBTClassifier(seed=settings.MODEL_SEED, **params)
+    return GBTClassifier(seed=settings.MODEL_SEED, **TREE_LEARNING, **params)
+
 
+def train_late(table: ModelTable, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
+    return _fit(LATE, table, "_late", _boosted(iterations), exclude, stratify=True)
 
-def train_late(df: DataFrame, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
-    return _fit(LATE, df, "is_late", _boosted(iterations), exclude, stratify=True)
 
+def train_breach(table: ModelTable, trees: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
+    params = {**settings.FOREST_BREACH, **TREE_LEARNING, **({"numTrees": trees} if trees else {})}
+    return _fit(BREACH, table, "_sla_breach", RandomForestClassifier(seed=settings.MODEL_SEED, **params), exclude, True)
 
-def train_breach(df: DataFrame, trees: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
-    params = {**settings.FOREST_BREACH, **({"numTrees": trees} if trees else {})}
-    labelled = df.withColumn("sla_breach", derive.labels()["sla_breach"])
-    return _fit(BREACH, labelled, "sla_breach", RandomForestClassifier(seed=settings.MODEL_SEED, **params), exclude, True)
 
+def train_delay(table: ModelTable, trees: int | None = None, exclude: tuple[str, ...] = (),
+                min_late_rows: int = settings.DELAY_MIN_LATE_ROWS) -> Trained:
+    """Delay minutes of late orders; with fewer than ``min_late_rows`` of them, of all orders.
 
-def train_delay(df: DataFrame, trees: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
-    """Delay minutes of late orders; with too few of them, of a sample of all orders."""
-    params = {**settings.FOREST_DELAY, **({"numTrees": trees} if trees else {})}
-    late = df.where("is_late = 1")
-    if late.count() < settings.DELAY_MIN_LATE_ROWS:
-        late = hash_sample(df, "order_id", settings.DELAY_SAMPLE_ROWS)
-    target = late.withColumn("delay_target", derive.labels()["delay_target"])
-    return _fit(DELAY, target, "delay_target", RandomForestRegressor(seed=settings.MODEL_SEED, **params), exclude, False)
+    The result row names the population. No row of it is left out.
+    """
+    params = {**settings.FOREST_DELAY, **TREE_LEARNING, **({"numTrees": trees} if trees else {})}
+    population = LATE_ORDERS if table.rows.where("_late = 1").count() >= min_late_rows else ALL_ORDERS
+    return _fit(DELAY, table, "_delay_target", RandomForestRegressor(seed=settings.MODEL_SEED, **params), exclude, False, population)
 
 
-def train_congestion(df: DataFrame, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
+def train_congestion(table: ModelTable, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
     """High-congestion risk. The label is a threshold on ``congestion_factor``, itself a
     default feature; pass ``exclude=("congestion_factor",)`` for a model without that leak."""
-    labelled = df.withColumn("high_congestion", derive.labels()["high_congestion"])
-    return _fit(CONGESTION, labelled, "high_congestion", _boosted(iterations), exclude, True)
+    return _fit(CONGESTION, table, "_high_congestion", _boosted(iterations), exclude, True)
 
 
-def train_all(df: DataFrame, iterations: int | None = None, trees: int | None = None) -> list[Trained]:
-    """All four models. ``df`` is read many times: pass a stored table."""
-    return [
-        train_late(df, iterations), train_breach(df, trees), train_delay(df, trees), train_congestion(df, iterations),
-    ]
+def train_all(table: ModelTable, iterations: int | None = None, trees: int | None = None) -> list[Trained]:
+    """All four models over one stored table, side by side: each is thousands of short jobs that leave cores idle."""
+    enable_checkpoints(table.rows.sparkSession)
+    runs = [(train_late, iterations), (train_breach, trees), (train_delay, trees), (train_congestion, iterations)]
+    with ThreadPoolExecutor(len(runs)) as pool:
+        return list(pool.map(lambda run: run[0](table, run[1]), runs))
 
 
 # --- Results and model files -------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from lastleg import settings
 from lastleg.functions import dates, text
@@ -16,14 +16,11 @@ from lastleg.plans import datasets, etl, views
 from lastleg.plans.warehouse import Warehouse, warehouse
 from lastleg.session import new_stage_path
 from lastleg.sources import schemas, tables
-from lastleg.sources.star_adapter import code_map
+from lastleg.sources.star_adapter import CITY_NAMES, code_map
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Trees used when a query trains a model; the library defaults are the full sizes.
-QUERY_ITERATIONS, QUERY_TREES, QUERY_RESTARTS = 10, 20, 2
-
 
 def plain(df: DataFrame) -> DataFrame:
     """Result columns in common types: decimals as double, integers as bigint."""
@@ -49,7 +46,7 @@ def query(build: Callable[[Warehouse], DataFrame]) -> Callable[[Warehouse], Data
 
 @query
 def dedup_orders(w):
-    return quality.keep_first(w.deliveries)
+    return quality.keep_first(w.deliveries).select(*[f.name for f in schemas.ORDERS.fields])
 
 
 @query
@@ -59,12 +56,12 @@ def dedup_counts(w):
 
 @query
 def null_profile(w):
-    return quality.null_profile(w.deliveries)
+    return quality.null_profile(w.orders)
 
 
 @query
 def dq_domain(w):
-    return quality.domain_violations(w.raw)
+    return quality.domain_violations(w.spoiled)
 
 
 @query
@@ -79,7 +76,7 @@ def dq_orphans(w):
 
 @query
 def dq_not_null(w):
-    return quality.null_violations(w.raw)
+    return quality.null_violations(w.spoiled)
 
 
 @query
@@ -91,7 +88,7 @@ def apply_defaults(w):
 
 @query
 def store_defaults(w):
-    filled = schemas.apply_defaults(w.stores, schemas.DARK_STORES)
+    filled = schemas.apply_defaults(w.spoiled["dark_stores"], schemas.DARK_STORES)
     return filled.select("store_id", "max_capacity", "is_active")
 
 
@@ -126,6 +123,35 @@ def etl_run(w):
     return built["city_daily_kpis"]
 
 
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _rows_by_name(found: dict[str, DataFrame], use: str) -> DataFrame:
+    return _union_all([
+        df.agg(F.count("*").alias("rows"), F.count_if(F.lit("late_risk_score" in df.columns)).alias("enriched_rows"))
+        .select(F.lit(use).alias("use"), F.lit(name).alias("table_name"), "rows", "enriched_rows") for name, df in found.items()])
+
+
+@query
+def load_with_fallback(w):
+    """What the dashboard, the trainer and the notebook read, with enriched orders stored and without."""
+    full, plain_only = new_stage_path(w.spark, "full"), new_stage_path(w.spark, "plain")
+    sources = {"orders": w.orders, "riders": w.riders, "dark_stores": w.stores}
+    tables.save_tables({**sources, "orders_enriched": w.enriched}, full, ("orders_enriched", *sources))
+    tables.save_tables(sources, plain_only, tuple(sources))
+    return _union_all([
+        _rows_by_name(tables.load_dashboard(w.spark, full), "dashboard"),
+        _rows_by_name(tables.load_dashboard(w.spark, plain_only), "dashboard, no features"),
+        _rows_by_name({"training": tables.load_training(w.spark, full)}, "trainer"),
+        _rows_by_name({"training": tables.load_training(w.spark, plain_only)}, "trainer, no features"),
+        _rows_by_name(tables.load_tables(w.spark, full, tables.NOTEBOOK_TABLES), "notebook"),
+    ])
+
+
 # --- Filters ------------------------------------------------------------------------------
 
 _ORDER_BRIEF = ("order_id", "city", "order_type", "created_at")
@@ -204,7 +230,7 @@ def late_risk(w):
 
 @query
 def row_derivations(w):
-    return derive.row_derivations(w.orders)
+    return derive.row_derivations(w.orders, F.col("forced_late"), F.col("delivery_failed"))
 
 
 @query
@@ -259,6 +285,16 @@ def weather_nearest(w):
     return found.select("order_id", "delay_impact_min")
 
 
+@query
+def weather_by_city(w):
+    """Readings of the even hours belong to the first city, the others to the second; other cities have none."""
+    even = F.hour("timestamp") % 2 == 0
+    placed = w.weather.withColumn("city", F.when(even, CITY_NAMES[0]).otherwise(CITY_NAMES[1]))
+    found = joins.nearest_reading(
+        w.orders.select("order_id", "city", "created_at"), placed, "created_at", "timestamp", "delay_impact_min", by="city")
+    return found.select("order_id", "city", "delay_impact_min")
+
+
 @query
 def store_lookup(w):
     fallback = (settings.FALLBACK_LAT, settings.FALLBACK_LON)
@@ -394,6 +430,18 @@ def recommendations_by_segment(w):
     return found.select("segment", "position", "rule", "priority", "title", "description")
 
 
+@query
+def recommendations_limits(w):
+    """Limits at which the rules for busy riders, stores and routes fire; without a limit reached, all is well."""
+    low = {"rider_util_low": 0.0, "rider_util_high": 0.5, "store_util_high": 1.0, "route_inefficiency_high": 1.0,
+           "sla_breach": 100.0, "congestion_high": 99.0, "peak_stress_high": 99.0, "weather_disruption_high": 100.0}
+    none = {**low, "rider_util_high": 1e9, "store_util_high": 1e9, "route_inefficiency_high": 99.0}
+    kpis = _kpis(w, by=("city",))
+    found = rules.recommendations(kpis, thresholds=low).withColumn("limits", F.lit("low")).unionByName(
+        rules.recommendations(kpis, thresholds=none).withColumn("limits", F.lit("none")))
+    return found.select("limits", "city", "position", "rule", "priority", "title", "description")
+
+
 @query
 def alert_lines(w):
     lines = rules.alert_lines(rules.recommendations(_kpis(w, by=("city",))))
@@ -419,7 +467,10 @@ def zone_assign_summary(w):
 
 @query
 def delivery_clusters(w):
-    return geo.delivery_zones(w.orders, restarts=QUERY_RESTARTS)
+    """The zones' number and what they hold together; centres depend on the start."""
+    return geo.delivery_zones(w.orders).agg(
+        F.count("*").alias("zones"), F.sum("order_count").alias("orders"), F.min(F.col("order_count") > 0).alias("all_used"),
+        F.sum(F.round(F.col("late_rate") * F.col("order_count")).cast("bigint")).alias("late_orders"))
 
 
 # --- Dashboard ----------------------------------------------------------------------------
@@ -641,41 +692,40 @@ def risk_bands(w):
     return score.risk_bands(fixed).select("order_id", "late_prob", "predicted_late", "risk_level")
 
 
-_trained: dict[tuple[str, str, str], train.Trained] = {}
+def _model(w: Warehouse, name: str) -> train.Trained:
+    """A model of full size. All four are trained together, once per warehouse."""
+    if not w.models:
+        w.models.update({m.name: m for m in train.train_all(w.model_table)})
+    return w.models[name]
 
 
-def _model(w: Warehouse, name: str) -> train.Trained:
-    """A model trained once per session and folder."""
-    key = (w.spark.sparkContext.applicationId, w.data_dir, name)
-    if key not in _trained:
-        _trained[key] = {
-            train.LATE: lambda: train.train_late(w.enriched, QUERY_ITERATIONS),
-            train.BREACH: lambda: train.train_breach(w.enriched, QUERY_TREES),
-            train.DELAY: lambda: train.train_delay(w.enriched, QUERY_TREES),
-            train.CONGESTION: lambda: train.train_congestion(w.enriched, QUERY_ITERATIONS),
-        }[name]()
-    return _trained[key]
+def _model_row(w: Warehouse, name: str, metric: str, above: float) -> DataFrame:
+    """What is exact about a trained model, and whether its quality is where it should be."""
+    m = _model(w, name)
+    total = sum(v for _, v in m.importances())
+    row = (name, m.population, m.n_train, m.n_test, len(m.features) + 1, m.metrics[metric] > above, abs(total - 1) < 1e-6)
+    return w.spark.createDataFrame([row], (
+        "model string, population string, n_train bigint, n_test bigint, inputs bigint, good boolean, importances_add_up boolean"))
 
 
 @query
 def ml_late(w):
-    m = _model(w, train.LATE)
-    return w.spark.createDataFrame(m.importances(), "feature string, importance double")
+    return _model_row(w, train.LATE, "roc_auc", 0.9)
 
 
 @query
 def ml_breach(w):
-    return train.results(w.spark, [_model(w, train.BREACH)]).drop("top_features")
+    return _model_row(w, train.BREACH, "roc_auc", 0.9)
 
 
 @query
 def ml_delay(w):
-    return train.results(w.spark, [_model(w, train.DELAY)]).drop("top_features")
+    return _model_row(w, train.DELAY, "r2", 0.4)
 
 
 @query
 def ml_congestion(w):
-    return train.results(w.spark, [_model(w, train.CONGESTION)]).drop("top_features")
+    return _model_row(w, train.CONGESTION, "roc_auc", 0.9)
 
 
 def _all_results(w: Warehouse) -> DataFrame:
@@ -688,17 +738,29 @@ def _all_results(w: Warehouse) -> DataFrame:
 
 @query
 def model_results(w):
-    return _all_results(w).drop("top_features")
+    """Which figures each model's stored result has; the figures themselves are checked by floors."""
+    has = {c: F.col(c).isNotNull() for c in ("accuracy", "roc_auc", "precision", "recall", "f1", "mae_minutes", "r2")}
+    return _all_results(w).select(
+        "model", "population", "n_train", "n_test", *[c.alias(f"has_{n}") for n, c in has.items()],
+        F.coalesce(F.size("top_features"), F.lit(0)).alias("top_features"))
 
 
 @query
 def model_status(w):
-    return train.model_status(_all_results(w))
+    bands = F.col("sidebar_band").isin("good", "weak") & F.col("card_band").isin("success", "warning", "danger")
+    return train.model_status(_all_results(w)).select(
+        "model", "title", F.col("score").between(0.4, 1.0).alias("score_in_range"), bands.alias("banded"),
+        F.col("sub_text").startswith("AUC: ").alias("has_auc"))
 
 
 @query
 def model_top_features(w):
-    return train.top_features(_all_results(w))
+    """The ten first features by position: known ones, by falling importance."""
+    top = train.top_features(_all_results(w))
+    known = F.col("feature").isin(*settings.MODEL_FEATURES, prepare.CITY_CODE)
+    # ten rows: a window over all of them
+    falling = F.col("importance") <= F.coalesce(F.lag("importance").over(W.partitionBy().orderBy("position")), F.lit(1.0))
+    return top.select("position", known.alias("known"), falling.alias("falling"))
 
 
 @query
@@ -706,5 +768,10 @@ def score_orders(w):
     """Saved and reloaded late model, scoring every enriched order."""
     folder = new_stage_path(w.spark, "models")
     train.save_models([_model(w, train.LATE)], folder)
-    scored = score.score_orders(w.enriched, score.load_model(folder))
-    return score.risk_bands(scored).select("order_id", "late_prob", "predicted_late", "risk_level")
+    scored = score.risk_bands(score.score_orders(w.enriched, score.load_model(folder)))
+    p = F.col("late_prob")
+    level = F.when(p > 0.7, "HIGH").when(p > 0.4, "MEDIUM").otherwise("LOW")
+    return scored.agg(
+        F.count("*").alias("orders"), F.count_if(p.between(0.0, 1.0)).alias("with_probability"),
+        F.count_if((F.col("risk_level") == level) & (F.col("predicted_late") == (p > 0.5))).alias("banded"),
+        (F.avg(F.when(F.col("is_late") == 1, p)) > F.avg(F.when(F.col("is_late") == 0, p)) + 0.3).alias("separates"))

@@ -1,18 +1,20 @@
 """The delivery tables of one data folder, built on demand.
 
-``orders`` and ``orders_enriched`` have many consumers. They are written once per session to
-the shared folder and read from there; everything else is a lazy DataFrame.
+``deliveries``, ``orders`` and ``orders_enriched`` have many consumers. They are written once
+per session to the shared folder and read from there; everything else is a lazy DataFrame.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lastleg.ml import train
 from lastleg.operators import features, quality, rollups
+from lastleg.operators.filters import DAY_COLUMN
 from lastleg.plans import views
-from lastleg.session import prepare, stage
+from lastleg.session import on_release, prepare, stage
 from lastleg.sources import star_adapter
 
 
@@ -20,16 +22,22 @@ class Warehouse:
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = prepare(spark)
         self.data_dir = data_dir.rstrip("/")
+        self.models: dict[str, train.Trained] = {}
+
+    @staticmethod
+    def _by_day(df: DataFrame, name: str) -> DataFrame:
+        """Stored with one folder per day, so relative date filters open the newest only."""
+        return stage(df.withColumn(DAY_COLUMN, F.to_date("created_at")), name, folders_by=DAY_COLUMN)
 
     @cached_property
     def deliveries(self) -> DataFrame:
-        """Raw deliveries, with repeated order ids."""
-        return star_adapter.deliveries(self.spark, self.data_dir)
+        """Raw deliveries, with repeated order ids: joined once, for all quality reports."""
+        return stage(star_adapter.deliveries(self.spark, self.data_dir), "deliveries")
 
     @cached_property
     def orders(self) -> DataFrame:
         quality.require_orders({"orders": self.deliveries})
-        return stage(quality.keep_first(self.deliveries), "orders")
+        return self._by_day(quality.keep_first(self.deliveries), "orders")
 
     @cached_property
     def riders(self) -> DataFrame:
@@ -49,7 +57,11 @@ class Warehouse:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return stage(features.engineer(self.orders, self.riders), "orders_enriched")
+        return self._by_day(features.engineer(self.orders, self.riders), "orders_enriched")
+
+    @cached_property
+    def model_table(self) -> train.ModelTable:
+        return train.model_table(self.enriched)
 
     @cached_property
     def city_daily(self) -> DataFrame:
@@ -75,6 +87,11 @@ class Warehouse:
             "weather": self.weather, "dim_cities": self.cities,
         }
 
+    @property
+    def spoiled(self) -> dict[str, DataFrame]:
+        """The raw tables with wrong and missing values in them."""
+        return star_adapter.with_violations(self.raw)
+
     def view(self, name: str) -> DataFrame:
         return views.view(self.spark, name, orders=self.orders, riders=self.riders, stores=self.stores)
 
@@ -88,3 +105,17 @@ def warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
     if key not in _open:
         _open[key] = Warehouse(spark, data_dir)
     return _open[key]
+
+
+def refresh(spark: SparkSession, data_dir: str) -> Warehouse:
+    """A new warehouse, after the files of a folder have changed."""
+    _open.pop((spark.sparkContext.applicationId, data_dir.rstrip("/")), None)
+    return warehouse(spark, data_dir)
+
+
+def _forget(application: str) -> None:
+    for key in [k for k in _open if k[0] == application]:
+        del _open[key]
+
+
+on_release(_forget)

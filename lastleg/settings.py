@@ -120,7 +120,7 @@ BOOSTED_TREES = {
 }
 FOREST_BREACH = {"numTrees": 300, "maxDepth": 8, "minInstancesPerNode": 5}
 FOREST_DELAY = {"numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 5}
-DELAY_MIN_LATE_ROWS, DELAY_SAMPLE_ROWS = 1000, 5000
+DELAY_MIN_LATE_ROWS = 1000
 NO_MODEL_PROBABILITY = 0.14
 RISK_HIGH, RISK_MEDIUM, LATE_CUTOFF = 0.7, 0.4, 0.5
 SCORING_DEFAULT_CITY = "Mumbai"

@@ -69,7 +69,7 @@ def test_reads_files_written_by_pandas(spark, tmp_path):
 
 
 def test_missing_orders_stop_the_chain(spark, tmp_path):
-    with pytest.warns(UserWarning), pytest.raises(ValueError, match="Orders dataset missing"):
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="no orders table"):
         etl.run(spark, str(tmp_path))
 
 
@@ -77,7 +77,7 @@ def test_missing_orders_stop_the_chain(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def late(w):
-    return train.train_late(w.enriched, iterations=5)
+    return train.train_late(w.model_table, iterations=5)
 
 
 def test_late_model_quality(late):
@@ -88,16 +88,21 @@ def test_late_model_quality(late):
 
 
 def test_other_models(w):
-    assert train.train_breach(w.enriched, trees=5).metrics["roc_auc"] > 0.9
-    assert train.train_delay(w.enriched, trees=5).metrics["r2"] > 0.4
-    no_leak = train.train_congestion(w.enriched, iterations=2, exclude=("congestion_factor",))
+    assert train.train_breach(w.model_table, trees=5).metrics["roc_auc"] > 0.9
+    delay = train.train_delay(w.model_table, trees=5)
+    late_rows = w.enriched.where("is_late = 1").count()
+    assert delay.metrics["r2"] > 0.4 and delay.population == train.LATE_ORDERS
+    assert delay.n_train + delay.n_test == late_rows
+    no_leak = train.train_congestion(w.model_table, iterations=2, exclude=("congestion_factor",))
     assert "congestion_factor" not in no_leak.features and no_leak.metrics["roc_auc"] > 0.6
 
 
-def test_few_late_rows_use_a_sample_of_all(w):
+def test_few_late_rows_use_all_orders(w):
     few = w.enriched.where("order_id < 'ORD000001000'")
+    rows = few.count()
     assert few.where("is_late = 1").count() < 1000
-    assert train.train_delay(few, trees=2).metrics["mae_minutes"] >= 0
+    delay = train.train_delay(train.model_table(few), trees=2)
+    assert delay.population == train.ALL_ORDERS and delay.n_train + delay.n_test == rows
 
 
 def test_results_and_scores_round_trip(spark, w, late, tmp_path):
@@ -122,7 +127,7 @@ def test_results_and_scores_round_trip(spark, w, late, tmp_path):
 
 
 def test_regressor_status_has_no_auc(spark):
-    table = spark.createDataFrame([("delay_estimation", None, None, None, None, None, 3.3, 0.88, None, None, None)], train.RESULT_SCHEMA)
+    table = spark.createDataFrame([("delay_estimation", "late orders", None, None, None, None, None, 3.3, 0.88, None, None, None)], train.RESULT_SCHEMA)
     row = train.model_status(table).first()
     assert (row.score, row.sub_text, row.card_band, row.card_text) == (0.88, "Regressor", "success", "88.0%")
 

@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import DATA
+from lastleg.oracle.twins import TWINS
+from lastleg.plans.registry import QUERIES
 
-QUERIES, TWINS = entry_module.queries(), entry_module.oracle_sql()
 DUCK_TYPES = {
     "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP",
 }
@@ -31,7 +32,9 @@ def test_matches_twin(spark, duck, name):
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(TWINS) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(TWINS) <= set(entry_module.oracle_sql())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
