@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -152,6 +153,33 @@ def load_with_fallback(w):
     ])
 
 
+@query
+def star_schema(w):
+    """The star schema created in a database of its own, filled from the raw tables and counted.
+
+    Columns the raw tables lack take their declared defaults. The database goes again; its files go with
+    the stages.
+    """
+    spark, before = w.spark, w.spark.catalog.currentDatabase()
+    name, folder = f"star_{uuid.uuid4().hex}", new_stage_path(w.spark, "star")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{folder}'")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        counted = []
+        sources = {**w.raw, "orders": w.orders}
+        for table in schemas.create_star_schema(spark, folder):
+            columns = [f.name for f in schemas.TABLES[table].fields if f.name in sources[table].columns]
+            listed = ", ".join(f"`{c}`" for c in columns)
+            spark.sql(f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {{source}}", source=sources[table])
+            filled = [F.count(f.name) == F.count("*") for f in schemas.TABLES[table].fields if f.default is not None]
+            row = spark.table(table).agg(F.count("*").alias("rows"), *[c.alias(f"f{i}") for i, c in enumerate(filled)]).first()
+            counted.append((table, row["rows"], len(spark.table(table).columns), all(row[f"f{i}"] for i in range(len(filled)))))
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    return spark.createDataFrame(counted, "table_name string, rows bigint, columns bigint, defaults_filled boolean")
+
+
 # --- Filters ------------------------------------------------------------------------------
 
 _ORDER_BRIEF = ("order_id", "city", "order_type", "created_at")

@@ -12,7 +12,7 @@ from lastleg.session import release_stages
 # Queries that train models or write tables run jobs while they are built.
 LAZY = sorted(set(QUERIES) - {
     "ml_late", "ml_breach", "ml_delay", "ml_congestion", "model_results", "model_status", "model_top_features",
-    "score_orders", "saved_tables", "etl_run", "delivery_clusters",
+    "score_orders", "saved_tables", "etl_run", "delivery_clusters", "star_schema", "load_with_fallback",
 })
 
 
