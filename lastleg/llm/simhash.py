@@ -70,15 +70,21 @@ def fingerprints(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def covering_masks(radius: int, level: int) -> list[int]:
-    """The 2^(radius+1) - 1 masks as signed longs. Every nonzero vector is dealt to as many positions as any other."""
-    vectors = 2 ** (radius + 1)
-    order = np.random.default_rng(SEED + level).permutation(BITS)
-    given = 1 + order % (vectors - 1)
-    masks = []
-    for v in range(1, vectors):
-        bits = [i for i in range(BITS) if bin(int(given[i]) & v).count("1") % 2]
-        masks.append(int(np.array(sum(1 << i for i in bits), dtype="<u8").view("<i8")))
-    return masks
+    """The 2^(radius+1) - 1 masks as signed longs.
+
+    Nonzero vectors are dealt to positions evenly, and of several deals that one is taken whose smallest
+    mask has most bits, since a mask of few bits makes large buckets.
+    """
+    vectors = np.arange(1, 2 ** (radius + 1), dtype=np.uint64)
+    rng = np.random.default_rng(SEED + level)
+    best = None
+    for _ in range(50):
+        deal = np.concatenate([rng.permutation(vectors) for _ in range(-(-BITS // len(vectors)))])[:BITS]
+        odd = np.bitwise_count(deal[None, :] & vectors[:, None]) % 2  # a row for each mask
+        if best is None or odd.sum(axis=1).min() > best.sum(axis=1).min():
+            best = odd
+    packed = np.packbits(best.astype(np.uint8), axis=1, bitorder="little")
+    return [int(m) for m in packed.view("<i8")[:, 0]]
 
 
 def _links(radius: int):

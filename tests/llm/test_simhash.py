@@ -44,9 +44,10 @@ def test_fingerprint(text):
 
 def test_every_pair_within_the_radius_meets():
     rng = random.Random(1)
-    for radius, level in ((4, 0), (4, 1), (2, 0)):
+    for radius, level in ((4, 0), (4, 1), (2, 0), (6, 0), (6, 1)):
         masks = simhash.covering_masks(radius, level)
         assert len(masks) == 2 ** (radius + 1) - 1
+        assert all(20 <= (m % 2**64).bit_count() <= 44 for m in masks)
         for _ in range(2000):
             changed = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(changed & m == 0 for m in masks)
