@@ -9,7 +9,7 @@ The resulting patterns say how many sequences take which lengths. Spark then num
 each length and reads off a piece's sequence and offset from its number, so no piece passes through the driver.
 
 Tokens of a text are the tokens of its chunks between white space: the tokenizer drops white space and
-no token spans it. Each task keeps a bounded dictionary of chunks it has met. Texts in
+no token spans it. Each worker keeps bounded dictionaries of what it has met. Texts in
 which this could differ (special token strings, separators that only Python counts as white space) are encoded whole.
 
 Defined cases: a null or empty text is the end id alone; rows with equal doc_id are packed as rows of
@@ -19,13 +19,13 @@ their own; null doc_ids are kept; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,60 +34,124 @@ from lastleg.session import stage
 
 CAPACITY = 2048
 END_ID = 0
-_ENCODE_WHOLE = re.compile("<\\||[\x1c-\x1f]")
+_ENCODE_WHOLE = r"<\||[\x1c-\x1f]"
+# ASCII but for the apostrophe, with which the tokenizer has words of its own, and composed Latin letters, whose
+# lower case takes no context and needs no composing.
+_PLAIN = r"\A[ \t\n\r!-&(-~\x{c0}-\x{ff}]*\z"
+_ROWS = 1000  # texts encoded at once
+_TOGETHER = 100  # words encoded at once
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit numbers, through a dictionary of chunks."""
+    """Token ids of texts through a dictionary of the chunks between white space.
 
-    def __init__(self, tokenizer_file: str | None = None, most_chunks: int = 1_000_000):
+    Texts of plain letters are first put into lower case, with blanks around their punctuation and
+    digits, just as the tokenizer splits them, so their chunks are its words and few. Arrow finds
+    and numbers the chunks; each different one is looked up once a batch. A full dictionary keeps what it
+    has: the frequent ones come early.
+    """
+
+    def __init__(self, tokenizer_file: str | None = None, most_chunks: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core already
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
-        self._most, self._known = most_chunks, {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self._last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._most = most_chunks
+        self._known: dict[str, bytes] = {"": b""}
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without nulls."""
+        whole = np.nonzero(np.asarray(pc.match_substring_regex(texts, _ENCODE_WHOLE)))[0]
+        apart = [self._encode([t])[0] for t in texts.take(pa.array(whole, pa.int64())).to_pylist()]
+        chosen = np.ones(len(texts), bool)
+        chosen[whole] = False
+        texts = pc.if_else(pa.array(chosen), texts, "")
+        lists = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _PLAIN), self._spaced(texts), texts))
+        coded = lists.flatten().dictionary_encode()
+        different = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, different), np.int64, len(different)) // 4
+        ids = np.frombuffer(b"".join(different), "<u4")
+        which = np.asarray(coded.indices)
+        length = sizes[which]
+        end = np.cumsum(length)
+        shift = (np.cumsum(sizes) - sizes)[which] - (end - length)
+        tokens = ids[np.repeat(shift, length) + np.arange(int(end[-1]) if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        out = [tokens[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i, data in zip(whole, apart, strict=True):
+            out[i] = np.frombuffer(data, "<u4")
+        return out
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if _ENCODE_WHOLE.search(text):
-                yield self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
+    @staticmethod
+    def _spaced(texts: pa.Array) -> pa.Array:
+        runs = pc.replace_substring_regex(pc.utf8_lower(texts), r"([^\s\p{L}\p{N}]+)", r" \1 ")
+        return pc.replace_substring_regex(runs, r"(\p{N})", r" \1 ")
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self._known.get, chunks))
+        if None in found:
+            new = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
+            extra = dict(zip(new, self._encode(new), strict=True))
+            if len(self._known) < self._most:
+                self._known.update(extra)
+            found = [extra[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return found
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids. Words of letters are encoded many at once and told apart by their last tokens."""
+        out: list[bytes] = [b""] * len(chunks)
+        words = [i for i, c in enumerate(chunks) if c.isalpha()]
+        others = [i for i, c in enumerate(chunks) if not c.isalpha()]
+        groups = [words[at: at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        for group, encoded in zip(groups, self._ids([" ".join([chunks[i] for i in g]) for g in groups]), strict=True):
+            ends = np.nonzero(self._last[encoded])[0] + 1
+            if len(ends) != len(group):
+                others += group
                 continue
-            chunks = text.split()
-            new = list(set(chunks).difference(self._known))
-            if new:
-                if len(self._known) + len(new) > self._most:
-                    self._known = {}
-                    new = list(set(chunks))
-                for at in range(0, len(new), 5000):
-                    part = new[at: at + 5000]
-                    for chunk, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        self._known[chunk] = self._bytes(e.ids)
-            yield b"".join(map(self._known.__getitem__, chunks))
+            for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = encoded[a:b].tobytes()
+        for i, encoded in zip(others, self._ids([chunks[i] for i in others]), strict=True):
+            out[i] = encoded.tobytes()
+        return out
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 5000):
+            for e in self._tokenizer.encode_batch_fast(texts[at: at + 5000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+
+_encoders: dict[str | None, ChunkEncoder] = {}
+
+
+def worker_encoder(tokenizer_file: str | None) -> ChunkEncoder:
+    """The encoder of this Python worker: its dictionaries serve all tasks that run there."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, the ids of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_file)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        encode = worker_encoder(tokenizer_file)
+        end = np.array([END_ID], dtype="<u4")
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             rows: list[tuple] = []
             ids: list[np.ndarray] = []
-            texts = ((t.as_py() or "") for t in batch.column(1))
+            texts = encode(pc.fill_null(batch.column(1), ""))
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                data = next(encode([text])) + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at: at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                data = np.concatenate([text, end])
+                for piece, at in enumerate(range(0, len(data), capacity)):
+                    part = data[at: at + capacity]
+                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part)))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        ids.append(part.astype(np.int32))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
