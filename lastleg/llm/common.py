@@ -23,6 +23,24 @@ def find_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+TEXTS_A_BATCH = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage_texts(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for what Python makes of whole texts: these go to it in small batches, so long ones fit.
+
+    The session's own batch size holds again afterwards.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_CONF)
+    conf.set(_BATCH_CONF, str(TEXTS_A_BATCH))
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(_BATCH_CONF, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,4 +75,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
     return placed.join(right, same).select(*df.columns, (F.col("__start") + F.col("__rank")).cast("long").alias(out))
 
 
-__all__ = ["find_package", "id_fold", "numbered", "stage", "table"]
+__all__ = ["find_package", "id_fold", "numbered", "stage", "stage_texts", "table"]

@@ -29,8 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastleg.llm.common import numbered
-from lastleg.session import stage
+from lastleg.llm.common import numbered, stage_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -52,7 +51,7 @@ class ChunkEncoder:
     has: the frequent ones come early.
     """
 
-    def __init__(self, tokenizer_file: str | None = None, most_chunks: int = 700_000):
+    def __init__(self, tokenizer_file: str | None = None, most_chunks: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core already
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -285,4 +284,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str | None = None, with_ids: bool = False) -> DataFrame:
     """Every piece of ``docs`` with its place; ``with_ids`` adds its token ids."""
-    return pack(stage(token_pieces(docs, capacity, tokenizer_file, with_ids), "pieces"), capacity)
+    return pack(stage_texts(token_pieces(docs, capacity, tokenizer_file, with_ids), "pieces"), capacity)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lastleg.llm.common import stage_texts
 from lastleg.llm.graph import connected_components
 from lastleg.session import stage
 
@@ -173,7 +174,7 @@ def _spread(rows: DataFrame, masks: list[Column]) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, radius: int = 4, max_bucket: int = 2048) -> DataFrame:
     """(doc_id, t, fp, component_id) of every row; the component is its smallest doc_id."""
-    prints = stage(fingerprints(docs, shingle_words), "fingerprints")
+    prints = stage_texts(fingerprints(docs, shingle_words), "fingerprints")
     nodes = stage(prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct_fingerprints")
     linked = stage(connected_components(covering_edges(nodes, radius, max_bucket), "a", "b"), "components")
     joined = nodes.join(linked, "node", "left").select(F.col("fp").alias("known"), F.coalesce("component", "node").alias("component_id"))

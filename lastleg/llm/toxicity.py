@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lastleg.llm.common import stage_texts
 from lastleg.session import stage
 
 BLOCK = 64
@@ -194,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
     examples = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(F.broadcast(chosen), F.col("x") == F.col("id"))
     texts = stage(examples.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
     vocabulary = _vocabulary(texts, max_terms)
-    featured = stage(_terms(docs, vocabulary), "terms")
+    featured = stage_texts(_terms(docs, vocabulary), "terms")
     size = featured.count()
     seen = {r["term"]: r["n"] for r in _document_counts(featured, len(vocabulary)).collect()}
     idf = np.array([np.log((1 + size) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
