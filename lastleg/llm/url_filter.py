@@ -3,7 +3,8 @@
 A page is judged by the longest rule that fits its host and path. What no rule decides is decided
 by its aliases: pages are connected by canonical links and redirects, found in their html or
 given as a table, and a block anywhere in a connected component passes to all of it, unless some page of the
-component is explicitly allowed; an own rule always comes first. Without any decision a page is allowed.
+component is explicitly allowed; an own rule always comes first. Addresses that only links name, pages
+that were not crawled, decide like all others. Without any decision a page is allowed.
 
 A page is known by its address without scheme, fragment, trailing slash, ``www.`` or ``m.`` in front,
 and tracking parameters (``utm_*``, ``ref``), since these lead to the same page; two pages with the
@@ -85,33 +86,43 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) addresses of the canonical links and redirects in the pages' html."""
+    """(source, target) urls of the canonical links and redirects in the pages' html."""
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
     targets = F.array(
         F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1),
     )
     links = pages.select(url.alias("url"), F.explode(targets).alias("link")).filter("link <> ''")
-    return links.select(address(F.col("url")).alias("source"), address(_absolute(F.col("link"), F.col("url"))).alias("target"))
+    return links.select(F.col("url").alias("source"), _absolute(F.col("link"), F.col("url")).alias("target"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, alias) of every page; ``redirects`` has columns source and target, as urls.
 
-    ``alias`` is the smallest address of the page's component.
+    ``alias`` is the smallest address of the page's component. Ends of links need not be pages: their rules count too.
     """
     url = F.col("url").cast("string")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"))
     judged = stage(base.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules)), "judged")
-    edges = page_links(pages) if "html" in pages.columns else None
+    links = page_links(pages) if "html" in pages.columns else None
     if redirects is not None:
-        given = redirects.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target"))
-        edges = given if edges is None else edges.unionByName(given)
-    if edges is None:
-        edges = judged.select(F.col("address").alias("source"), F.col("address").alias("target")).limit(0)
+        given = redirects.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
+        links = given if links is None else links.unionByName(given)
+    if links is None:
+        links = pages.select(url.alias("source"), url.alias("target")).limit(0)
+    ends = [
+        F.struct(address(F.col(c)).alias("address"), longest_rule(host_of(F.col(c)), path_of(F.col(c)), rules)["action"].alias("action")).alias(c)
+        for c in ("source", "target")
+    ]
+    links = stage(links.select(*ends), "link_ends")
+    edges = links.select(F.col("source.address").alias("source"), F.col("target.address").alias("target"))
     classes = stage(connected_components(edges, "source", "target"), "aliases")
     named = judged.join(classes, F.col("address") == F.col("node"), "left").withColumn("alias", F.coalesce("component", "address"))
     named = stage(named.select("page_id", "host", "path", "own", "alias"), "named")
-    decided = named.filter("own.action IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.min("own.action").alias("decision"))
+    # an end with a rule may be no page at all, or differ from its page in what an address leaves out
+    linked = links.select("source.*").unionByName(links.select("target.*")).filter("address IS NOT NULL AND action IS NOT NULL").distinct()
+    linked = linked.join(classes, F.col("address") == F.col("node"), "left").select(F.coalesce("component", "address").alias("alias"), "action")
+    known = named.select("alias", F.col("own.action").alias("action")).filter("action IS NOT NULL AND alias IS NOT NULL").unionByName(linked)
+    decided = known.groupBy("alias").agg(F.min("action").alias("decision"))
     # "allow" comes before "block": the smallest action of a component gives allow precedence
     blocked = stage(decided.filter("decision = 'block'").select(F.col("alias").alias("blocked")), "blocked")
     open_pages = named.join(blocked, F.col("alias") == F.col("blocked"), "left")

@@ -63,3 +63,19 @@ def test_redirect_table_without_html_and_empty_tables(spark):
     assert {r["page_id"]: r["verdict"] for r in both.collect()} == {1: "block", 2: "allow", 3: "block"}
     assert uf.judge(pages.limit(0), rules, redirects).count() == 0
     assert uf.judge(pages, rules).count() == 2
+
+
+CANONICAL = '<link rel="canonical" href="{}">'.format
+REFRESH = '<meta http-equiv="refresh" content="0; url={}">'.format
+
+
+def test_rules_of_targets_that_are_no_pages_count(spark):
+    rules = [uf.Rule("block", "bad.com", "/"), uf.Rule("allow", "good.com", "/ok")]
+    got = judged(spark, [
+        page(1, "http://a.net/1", REFRESH("http://bad.com/de/x")), page(2, "http://b.net/2", CANONICAL("http://a.net/1")),
+        page(3, "http://c.net/3", REFRESH("http://bad.com/y")), page(4, "http://d.net/4", CANONICAL("http://c.net/3") + REFRESH("http://good.com/ok")),
+    ], rules)
+    assert {i: v for i, (v, _) in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    pages = spark.createDataFrame([(1, "http://e.net/1")], "page_id long, url string")
+    redirects = spark.createDataFrame([("http://e.net/1", "http://f.net/"), ("http://f.net", "http://bad.com/z")], "source string, target string")
+    assert [r["verdict"] for r in uf.judge(pages, rules, redirects).collect()] == ["block"]
