@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastleg.llm import ann_forest, language_id, line_dedup, mixing, packing, pivot_index, sharding, simhash, toxicity, url_filter
+from lastleg.llm import (
+    ann_forest, exact_dedup, fim, language_id, line_dedup, mixing, packing, pivot_index, sharded_lloyd, sharding, simhash, toxicity, url_filter,
+)
 from lastleg.llm.common import id_fold, table
 
 
@@ -74,6 +76,22 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_lloyd.cluster(table(spark, sf_dir, "embeddings"), dimensions=64, k=40, rounds=5, scale=256, seed=2)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -85,6 +103,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_clustering": op11_clustering,
+    "op12_fim": op12_fim,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 # A line goes if a window of 50 words or more around it, of shortest length, occurred before.
@@ -167,4 +188,66 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.action, d.decision, 'allow'
 FROM judged j LEFT JOIN (SELECT alias, min(action) AS decision FROM judged GROUP BY alias) d ON d.alias = j.alias
 """
 
-ORACLES = {"op3_urls": _URLS, "op10_topk": _TOPK, "op8_line_dedup": _LINE_DEDUP}
+
+
+def _lloyd(k: int = 40, rounds: int = 5) -> str:
+    """Every round written out, over one row for each component."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range(64)) AS i FROM kept),
+start AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c FROM kept ORDER BY c LIMIT {k}),
+centroids0 AS MATERIALIZED (SELECT c, unnest(v) AS y, unnest(range(64)) AS i FROM start)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+near{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM parts JOIN centroids{n} USING (i) GROUP BY r, c) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+means{n} AS (SELECT n.best.c AS c, i, sum(x) AS s, count(*) AS m FROM parts p JOIN near{n} n USING (r) GROUP BY 1, 2),
+centroids{n + 1} AS MATERIALIZED (
+  SELECT o.c, o.i, CASE WHEN m IS NULL THEN y ELSE CAST((s - ((s % m) + m) % m) // m AS BIGINT) END AS y
+  FROM centroids{n} o LEFT JOIN means{n} e ON e.c = o.c AND e.i = o.i)""")
+    steps.append(f"""
+named AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM centroids{rounds} GROUP BY c)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN near{rounds} USING (r) JOIN named ON named.c = best.c
+"""
+
+
+_FIM = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS lines,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(lines) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(lines) + 1) AS r1, CAST('0x' || h[9:16] AS BIGINT) % (len(lines) + 1) AS r2,
+    CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM split),
+formed AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(lines[1:least(r1, r2)], '') AS p, array_to_string(lines[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+    array_to_string(lines[greatest(r1, r2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM formed
+"""
+
+_EXACT = r"""
+WITH bare AS (
+  SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS t FROM documents),
+placed AS (
+  SELECT *, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, r) AS place,
+    first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, r) AS keep_id FROM bare)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM placed
+"""
+
+ORACLES = {
+    "op3_urls": _URLS, "op8_line_dedup": _LINE_DEDUP, "op10_topk": _TOPK, "op11_clustering": _lloyd(), "op12_fim": _FIM, "op13_exact_dedup": _EXACT,
+}
