@@ -60,7 +60,7 @@ def test_line_dedup_stage_passes_on_changed_rows_only(odd_docs):
 
 def test_registered():
     names = entry_module.queries()
-    assert "pipeline" in names and sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert importlib.import_module("corpus_pipeline").ORACLE_SQL is None
 
 
