@@ -46,6 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes for ``df`` to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -75,4 +86,4 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, per_buc
     return placed.join(right, same).select(*df.columns, (F.col("__start") + F.col("__rank")).cast("long").alias(out))
 
 
-__all__ = ["find_package", "id_fold", "numbered", "stage", "stage_texts", "table"]
+__all__ = ["find_package", "id_fold", "numbered", "stage", "stage_texts", "table", "unused"]

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lastleg.llm.common import unused
 from lastleg.session import stage
 
 _DOC = ["d", "t"]
@@ -104,12 +105,12 @@ def removed_spans(docs: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, spans_column: str = "removed_spans") -> DataFrame:
     """``docs`` with repeated runs cut from ``text``, and the line spans cut, an array of (lo, hi), null if none."""
-    spans = stage(removed_spans(docs.select("doc_id", "text"), min_words), "removed_spans").select(
-        F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"),
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists("__spans", lambda s: i.between(s["lo"], s["hi"])))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    d, t, cut = unused(docs, "d", "t", "spans")
+    spans = stage(removed_spans(docs.select("doc_id", "text"), min_words), "removed_spans")
+    spans = spans.select(F.col("d").alias(d), F.col("t").alias(t), F.col("spans").alias(cut))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists(cut, lambda s: i.between(s["lo"], s["hi"])))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c != spans_column]
     # always a merge join: spans grow with the corpus, so a broadcast would only suit small inputs
-    return docs.join(spans.hint("merge"), same, "left").select(*others, F.col("__spans").alias(spans_column))
+    return docs.join(spans.hint("merge"), same, "left").select(*others, F.col(cut).alias(spans_column))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lastleg.llm.common import unused
 from lastleg.session import stage
 
 MOST_BLOCKS = 65_536
@@ -153,13 +154,11 @@ def schedule(docs: DataFrame, target_entropy: float | None = None, repetition_li
 
 def mix(docs: DataFrame, epoch_column: str = "epoch", key_column: str = "mix_key", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix reads them, with the pass and the place in the mix."""
-    plan = stage(schedule(docs.select("doc_id", "text", "source"), **options), "schedule").select(
-        F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("s").alias("__s"), F.col("epoch").alias("__epoch"), F.col("mix_key").alias("__key"),
-    )
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-        & F.col("source").cast("string").eqNullSafe(F.col("__s"))
-    )
+    inside = ("d", "t", "s", "epoch", "mix_key")
+    d, t, s, epoch, key = unused(docs, *inside)
+    plan = stage(schedule(docs.select("doc_id", "text", "source"), **options), "schedule")
+    plan = plan.select(*[F.col(c).alias(n) for c, n in zip(inside, (d, t, s, epoch, key), strict=True)])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(s))
     kept = [F.col(c) for c in docs.columns if c not in (epoch_column, key_column)]
     # always a merge join: the schedule grows with the corpus, so a broadcast would only suit small inputs
-    return docs.join(plan.hint("merge"), same).select(*kept, F.col("__epoch").alias(epoch_column), F.col("__key").alias(key_column))
+    return docs.join(plan.hint("merge"), same).select(*kept, F.col(epoch).alias(epoch_column), F.col(key).alias(key_column))

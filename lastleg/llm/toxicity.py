@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lastleg.llm.common import stage_texts
+from lastleg.llm.common import stage_texts, unused
 from lastleg.session import stage
 
 BLOCK = 64
@@ -248,7 +248,8 @@ def _fit(rows: list, idf: np.ndarray, shares: dict[int, int], k: int) -> Index:
 def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` scored below ``threshold``, all columns as they are."""
     scored = stage(score(docs, labels, learn).filter(F.col("score") >= threshold).select("d", "t"), "rejected")
-    bad = scored.select(F.col("d").alias("__d"), F.col("t").alias("__t"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    d, t = unused(docs, "d", "t")
+    bad = scored.select(F.col("d").alias(d), F.col("t").alias(t))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
     # always a merge join: rejections grow with the corpus, so a broadcast would only suit small inputs
     return docs.join(bad.hint("merge"), same, "left_anti")

@@ -8,8 +8,9 @@ import corpus_pipeline
 from conftest import DATA
 from lastleg.llm import line_dedup, mixing, toxicity
 from lastleg.llm.common import id_fold, numbered
+from llm.test_jaccard import alike, slow_set
 from llm.test_line_dedup import slow
-from llm.test_simhash import slow_components, slow_fingerprint
+from llm.test_simhash import slow_components
 
 
 def test_stages_equal_brute_force_one_by_one(spark, tmp_path):
@@ -29,9 +30,9 @@ def test_stages_equal_brute_force_one_by_one(spark, tmp_path):
     lines = {r["doc_id"]: r["text"] for r in kept["line_dedup"].collect()}
     assert {(i, clean[i]): t for i, t in lines.items()} == slow(list(clean.items()), 50)
     assert all(r["n_chars"] == len(r["text"]) for r in kept["line_dedup"].where("length(text) > 0").collect() if r["text"] != clean[r["doc_id"]])
-    fps = {i: slow_fingerprint(t, 5) for i, t in lines.items()}
-    ids = sorted(fps)
-    pairs = [(a, b) for a in ids for b in ids if b < a and (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.NEAR_BITS]
+    sets = {i: slow_set(t) for i, t in lines.items()}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if b < a and alike(sets[a], sets[b])]
     roots = {i for i, c in slow_components(ids, pairs).items() if i == c}
     assert {r["doc_id"] for r in kept["near_dedup"].collect()} == roots
     mixed = [(r["doc_id"], r["source"]) for r in kept["mixing"].collect()]
@@ -54,6 +55,20 @@ def test_every_stage_stands_odd_documents(spark, odd_docs, no_docs, tmp_path):
                 assert out.columns == docs.columns
 
 
+def test_columns_of_any_name_pass(spark, odd_docs, tmp_path):
+    """Names that stages use inside are just columns of the documents."""
+    inside = ("d", "t", "u", "spans", "epoch", "mix_key", "removed_spans", "__d", "__t", "__epoch", "__mix_key", "__removed_spans", "class", "place")
+    docs = odd_docs
+    for c in inside:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.select(*inside).distinct().collect():
+            assert r.asDict() == {c: f"own {c}" for c in inside}
+
+
 def test_line_dedup_stage_passes_on_changed_rows_only(odd_docs):
     assert line_dedup.dedup_lines(odd_docs).where("removed_spans IS NOT NULL").count() == 2
 
