@@ -5,16 +5,18 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lastleg import settings
 from lastleg.functions.text import fixed, percent, title_case
-from lastleg.ml.prepare import CITY_CODE, feature_rows
+from lastleg.ml import boosting
+from lastleg.ml.prepare import CITY_CODE, distinct_cities, feature_rows
+from lastleg.ml.store import Model, city_code
+from lastleg.ml.store import save_models as _save_models
 from lastleg.operators import derive
 from lastleg.operators.metrics import classification_metrics, regression_metrics
 from lastleg.operators.sampling import stratified_split
@@ -34,7 +36,7 @@ ALL_ORDERS, LATE_ORDERS = "all orders", "late orders"
 @dataclass
 class Trained:
     name: str
-    model: PipelineModel
+    model: Model
     features: list[str]
     metrics: dict
     population: str = ALL_ORDERS
@@ -43,8 +45,7 @@ class Trained:
 
     def importances(self) -> list[tuple[str, float]]:
         """All features, most important first."""
-        values = self.model.stages[-1].featureImportances.toArray()
-        return sorted(zip([*self.features, CITY_CODE], map(float, values)), key=lambda p: -p[1])
+        return self.model.importances()
 
     def result_row(self) -> tuple:
         m = self.metrics
@@ -78,34 +79,25 @@ def model_table(df: DataFrame) -> ModelTable:
     return ModelTable(stored, features)
 
 
-def _fit(name: str, table: ModelTable, label: str, estimator, exclude: tuple[str, ...], stratify: bool,
-         population: str = ALL_ORDERS) -> Trained:
-    """Split, fit on the training rows and evaluate on the others.
-
-    Tree learners pass over the training rows many times, so these are kept in memory and on
-    disk; what an executor loses is read again from the stored table.
-    """
+def _fit(name: str, table: ModelTable, label: str, learn, exclude: tuple[str, ...], stratify: bool, population: str = ALL_ORDERS) -> Trained:
+    """Split, fit on the training rows and evaluate on the others. ``learn(train, features)`` gives the fitted model."""
     enable_checkpoints(table.rows.sparkSession)
     features = [c for c in table.features if c not in exclude]
     chosen = table.rows.where("_late = 1") if population == LATE_ORDERS else table.rows
     inputs = chosen.select("order_id", "city", *features, F.col(label).alias("label"))
-    # thousands of short passes: a partition below this size costs more to start than to read
-    parts = -(-table.rows.count() // ROWS_PER_PARTITION)
-    split = stratified_split(inputs, "order_id", "label" if stratify else None).coalesce(max(1, parts)).persist()
+    split = stratified_split(inputs, "order_id", "label" if stratify else None)
+    split = stage(split.hint("coalesce", max(1, -(-table.rows.count() // ROWS_PER_PARTITION))), f"split_{name}")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    try:
-        model = _pipeline(features, estimator.setLabelCol("label").setFeaturesCol("features")).fit(train)
-        scored = model.transform(test)
-        if name == DELAY:
-            metrics = regression_metrics(scored, "label", "prediction").first().asDict()
-        else:
-            scored = scored.select("label", vector_to_array("probability")[1].alias("p")).persist()
-            metrics = classification_metrics(scored, "label", "p").first().asDict()
-            scored.unpersist()
-        n_test, n_train = metrics.pop("n"), train.count()
-        metrics.update(n_train=n_train, n_test=n_test)
-    finally:
-        split.unpersist()
+    # one name for each city the model knows
+    cities = [r["city"] for r in distinct_cities(train).collect()]
+    model = Model(name, learn(train, features, cities), features, cities, regressor=name == DELAY)
+    if name == DELAY:
+        metrics = regression_metrics(model.score(test, "prediction"), "label", "prediction").first().asDict()
+    else:
+        scored = stage(model.score(test, "p").select("label", "p"), f"scored_{name}")
+        metrics = classification_metrics(scored, "label", "p").first().asDict()
+    n_test, n_train = metrics.pop("n"), train.count()
+    metrics.update(n_train=n_train, n_test=n_test)
     if name != LATE:
         metrics = {k: metrics[k] for k in ("accuracy", "roc_auc", "mae_minutes", "r2") if k in metrics}
     return Trained(name, model, features, metrics, population, n_train, n_test)
@@ -117,11 +109,24 @@ ROWS_PER_PARTITION = 20_000
 TREE_LEARNING = {"cacheNodeIds": True, "checkpointInterval": 25, "maxMemoryInMB": 512}
 
 
-def _boosted(iterations: int | None) -> GBTClassifier:
-    params = dict(settings.BOOSTED_TREES)
-    if iterations:
-        params["maxIter"] = iterations
-    return GBTClassifier(seed=settings.MODEL_SEED, **TREE_LEARNING, **params)
+def _forest(estimator):
+    """Learn with a tree learner of the library, which passes over the training rows many times: they are kept meanwhile."""
+    def learn(train: DataFrame, features: list[str], cities: list[str]):
+        kept = train.persist()
+        try:
+            return _pipeline(features, estimator.setLabelCol("label").setFeaturesCol("features")).fit(kept)
+        finally:
+            kept.unpersist()
+    return learn
+
+
+def _boosted(iterations: int | None):
+    params = {**settings.BOOSTED_TREES, **({"trees": iterations} if iterations else {})}
+
+    def learn(train: DataFrame, features: list[str], cities: list[str]):
+        rows = train.withColumn(CITY_CODE, city_code(cities))
+        return boosting.fit(rows, [*features, CITY_CODE], "label", "order_id", seed=settings.MODEL_SEED, **params)
+    return learn
 
 
 def train_late(table: ModelTable, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
@@ -130,7 +135,7 @@ def train_late(table: ModelTable, iterations: int | None = None, exclude: tuple[
 
 def train_breach(table: ModelTable, trees: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
     params = {**settings.FOREST_BREACH, **TREE_LEARNING, **({"numTrees": trees} if trees else {})}
-    return _fit(BREACH, table, "_sla_breach", RandomForestClassifier(seed=settings.MODEL_SEED, **params), exclude, True)
+    return _fit(BREACH, table, "_sla_breach", _forest(RandomForestClassifier(seed=settings.MODEL_SEED, **params)), exclude, True)
 
 
 def train_delay(table: ModelTable, trees: int | None = None, exclude: tuple[str, ...] = (),
@@ -141,7 +146,7 @@ def train_delay(table: ModelTable, trees: int | None = None, exclude: tuple[str,
     """
     params = {**settings.FOREST_DELAY, **TREE_LEARNING, **({"numTrees": trees} if trees else {})}
     population = LATE_ORDERS if table.rows.where("_late = 1").count() >= min_late_rows else ALL_ORDERS
-    return _fit(DELAY, table, "_delay_target", RandomForestRegressor(seed=settings.MODEL_SEED, **params), exclude, False, population)
+    return _fit(DELAY, table, "_delay_target", _forest(RandomForestRegressor(seed=settings.MODEL_SEED, **params)), exclude, False, population)
 
 
 def train_congestion(table: ModelTable, iterations: int | None = None, exclude: tuple[str, ...] = ()) -> Trained:
@@ -174,8 +179,7 @@ def load_results(spark: SparkSession, model_dir: str) -> DataFrame:
 
 
 def save_models(models: list[Trained], model_dir: str) -> None:
-    for m in models:
-        m.model.write().overwrite().save(f"{model_dir.rstrip('/')}/{m.name}")
+    _save_models([m.model for m in models], model_dir)
 
 
 def model_status(table: DataFrame) -> DataFrame:

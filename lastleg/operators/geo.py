@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lastleg import settings
 from lastleg.functions.numeric import dbl, exact_avg, np_round
+from lastleg.session import stage
 
 GRID_SCHEMA = "lat_bin double, lon_bin double, order_count bigint, late_rate double, avg_delivery_min double, avg_congestion double"
 ZONE_SCHEMA = "cluster int, center_lat double, center_lon double, order_count bigint, late_rate double, avg_delivery_min double"
@@ -30,8 +30,8 @@ def geo_grid(orders: DataFrame, precision: int = 3, ordered: bool = True) -> Dat
     return cells.orderBy(F.desc("order_count"), "lat_bin", "lon_bin") if ordered else cells
 
 
-def nearest_centre(centres: list[tuple[float, float]]) -> Column:
-    """Index of the nearest of a handful of centres; the first one on a tie."""
+def nearest_centre(centres: list[tuple[float, float]], with_distance: bool = False) -> Column:
+    """Index of the nearest of a handful of centres, the first one on a tie; with its squared distance, a struct (d, cluster)."""
     lat, lon = dbl("delivery_lat"), dbl("delivery_lon")
     distances = F.array(*[
         F.struct(
@@ -39,7 +39,8 @@ def nearest_centre(centres: list[tuple[float, float]]) -> Column:
             F.lit(i).alias("cluster"))
         for i, (a, b) in enumerate(centres)
     ])
-    return F.array_min(distances)["cluster"]
+    nearest = F.array_min(distances)
+    return nearest if with_distance else nearest["cluster"]
 
 
 def zone_summary(assigned: DataFrame) -> DataFrame:
@@ -61,24 +62,52 @@ def assign_zones(orders: DataFrame, centres: list[tuple[float, float]]) -> DataF
     return zone_summary(_located(orders).withColumn("cluster", nearest_centre(centres)))
 
 
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k sample points, each drawn with a chance by its squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    while len(chosen) < k:
+        far = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(sample))])
+    return np.array(chosen)
+
+
 def fit_centres(
     orders: DataFrame, k: int = settings.ZONE_CLUSTERS, restarts: int = settings.ZONE_RESTARTS, seed: int = settings.ZONE_SEED,
+    sample: int = 10_000, most_rounds: int = 20, tolerance: float = 1e-4,
 ) -> list[tuple[float, float]] | None:
-    """K-means centres over all located orders: the best of several starts by training cost.
+    """K-means centres over all located orders: the best of several starts by the sum of squared distances.
 
-    Only k centres per start reach the driver. ``None`` when there are fewer points than k.
+    Every round moves the centres of all starts by one aggregate: a point meets all of them in one expression. Starts are drawn
+    from at most ``sample`` points, those with the smallest hash. Only k centres a start reach the driver. ``None`` when there are fewer points than k.
     """
-    points = VectorAssembler(inputCols=["lat", "lon"], outputCol="features").transform(
-        _located(orders).select(dbl("delivery_lat").alias("lat"), dbl("delivery_lon").alias("lon"))
-    ).select("features").persist()
-    try:
-        if points.count() < k:
-            return None
-        fits = (KMeans(k=k, seed=seed + i).fit(points) for i in range(restarts))
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return [(float(c[0]), float(c[1])) for c in best.clusterCenters()]
-    finally:
-        points.unpersist()
+    points = stage(_located(orders).select(dbl("delivery_lat").alias("delivery_lat"), dbl("delivery_lon").alias("delivery_lon")), "points")
+    drawn = points.orderBy(F.xxhash64("delivery_lat", "delivery_lon")).limit(sample).collect()
+    if len(drawn) < k:
+        return None
+    drawn = np.array(drawn, float)
+    centres = [_first_centres(drawn, k, seed + i) for i in range(restarts)]
+    cost, active = [float("inf")] * restarts, list(range(restarts))
+    for _ in range(most_rounds):
+        each = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("start"), nearest_centre(centres[i].tolist(), with_distance=True).alias("near")) for i in active
+        ]))
+        sums = points.select("*", each.alias("e")).groupBy("e.start", "e.near.cluster").agg(
+            F.avg("delivery_lat").alias("lat"), F.avg("delivery_lon").alias("lon"), F.sum("e.near.d").alias("d"))
+        moved = {i: centres[i].copy() for i in active}
+        spent = dict.fromkeys(active, 0.0)
+        for r in sums.collect():
+            moved[r["start"]][r["cluster"]] = (r["lat"], r["lon"])
+            spent[r["start"]] += r["d"]
+        for i in list(active):
+            cost[i] = spent[i]
+            if np.abs(moved[i] - centres[i]).max() < tolerance:
+                active.remove(i)
+            centres[i] = moved[i]
+        if not active:
+            break
+    best = centres[int(np.argmin(cost))]
+    return [(float(a), float(b)) for a, b in sorted(best.tolist())]
 
 
 def delivery_zones(orders: DataFrame, k: int = settings.ZONE_CLUSTERS, restarts: int = settings.ZONE_RESTARTS) -> DataFrame:

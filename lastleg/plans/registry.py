@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from lastleg import settings
 from lastleg.functions import dates, text
 from lastleg.functions.numeric import clip, dbl, exact_avg, np_round
-from lastleg.ml import prepare, score, train
+from lastleg.ml import prepare, score, store, train
 from lastleg.operators import derive, features, filters, geo, joins, kpi, metrics, quality, rollups, rules, sampling
 from lastleg.plans import datasets, etl, views
 from lastleg.plans.warehouse import Warehouse, warehouse
@@ -495,10 +496,7 @@ def zone_assign_summary(w):
 
 @query
 def delivery_clusters(w):
-    """The zones' number and what they hold together; centres depend on the start."""
-    return geo.delivery_zones(w.orders).agg(
-        F.count("*").alias("zones"), F.sum("order_count").alias("orders"), F.min(F.col("order_count") > 0).alias("all_used"),
-        F.sum(F.round(F.col("late_rate") * F.col("order_count")).cast("bigint")).alias("late_orders"))
+    return geo.delivery_zones(w.orders)
 
 
 # --- Dashboard ----------------------------------------------------------------------------
@@ -720,86 +718,77 @@ def risk_bands(w):
     return score.risk_bands(fixed).select("order_id", "late_prob", "predicted_late", "risk_level")
 
 
-def _model(w: Warehouse, name: str) -> train.Trained:
-    """A model of full size. All four are trained together, once per warehouse."""
-    if not w.models:
-        w.models.update({m.name: m for m in train.train_all(w.model_table)})
-    return w.models[name]
+_TRAINERS = {
+    train.LATE: train.train_late, train.BREACH: train.train_breach, train.DELAY: train.train_delay, train.CONGESTION: train.train_congestion,
+}
 
 
-def _model_row(w: Warehouse, name: str, metric: str, above: float) -> DataFrame:
-    """What is exact about a trained model, and whether its quality is where it should be."""
-    m = _model(w, name)
-    total = sum(v for _, v in m.importances())
-    row = (name, m.population, m.n_train, m.n_test, len(m.features) + 1, m.metrics[metric] > above, abs(total - 1) < 1e-6)
-    return w.spark.createDataFrame([row], (
-        "model string, population string, n_train bigint, n_test bigint, inputs bigint, good boolean, importances_add_up boolean"))
+def _models(w: Warehouse, *names: str) -> list[train.Trained]:
+    """Models of full size, each trained once a warehouse and only if asked for; several of them side by side."""
+    missing = [n for n in names if n not in w.models]
+    table = w.model_table
+    with ThreadPoolExecutor(len(_TRAINERS)) as pool:
+        w.models.update(zip(missing, pool.map(lambda n: _TRAINERS[n](table), missing), strict=True))
+    return [w.models[n] for n in names]
+
+
+def _results(w: Warehouse, *names: str) -> DataFrame:
+    """The stored results of models."""
+    folder = new_stage_path(w.spark, "models")
+    train.save_results(train.results(w.spark, _models(w, *names)), folder)
+    return train.load_results(w.spark, folder)
 
 
 @query
 def ml_late(w):
-    return _model_row(w, train.LATE, "roc_auc", 0.9)
+    return _results(w, train.LATE)
 
 
 @query
 def ml_breach(w):
-    return _model_row(w, train.BREACH, "roc_auc", 0.9)
+    return _results(w, train.BREACH)
 
 
 @query
 def ml_delay(w):
-    return _model_row(w, train.DELAY, "r2", 0.4)
+    return _results(w, train.DELAY)
 
 
 @query
 def ml_congestion(w):
-    return _model_row(w, train.CONGESTION, "roc_auc", 0.9)
-
-
-def _all_results(w: Warehouse) -> DataFrame:
-    """Results of the four models through the results file."""
-    folder = new_stage_path(w.spark, "models")
-    models = [_model(w, n) for n in (train.LATE, train.BREACH, train.DELAY, train.CONGESTION)]
-    train.save_results(train.results(w.spark, models), folder)
-    return train.load_results(w.spark, folder)
+    return _results(w, train.CONGESTION)
 
 
 @query
 def model_results(w):
-    """Which figures each model's stored result has; the figures themselves are checked by floors."""
-    has = {c: F.col(c).isNotNull() for c in ("accuracy", "roc_auc", "precision", "recall", "f1", "mae_minutes", "r2")}
-    return _all_results(w).select(
-        "model", "population", "n_train", "n_test", *[c.alias(f"has_{n}") for n, c in has.items()],
-        F.coalesce(F.size("top_features"), F.lit(0)).alias("top_features"))
+    return _results(w, *_TRAINERS)
 
 
 @query
 def model_status(w):
-    bands = F.col("sidebar_band").isin("good", "weak") & F.col("card_band").isin("success", "warning", "danger")
-    return train.model_status(_all_results(w)).select(
-        "model", "title", F.col("score").between(0.4, 1.0).alias("score_in_range"), bands.alias("banded"),
-        F.col("sub_text").startswith("AUC: ").alias("has_auc"))
+    return train.model_status(_results(w, *_TRAINERS))
 
 
 @query
 def model_top_features(w):
-    """The ten first features by position: known ones, by falling importance."""
-    top = train.top_features(_all_results(w))
-    known = F.col("feature").isin(*settings.MODEL_FEATURES, prepare.CITY_CODE)
-    # ten rows: a window over all of them
-    falling = F.col("importance") <= F.coalesce(F.lag("importance").over(W.partitionBy().orderBy("position")), F.lit(1.0))
-    return top.select("position", known.alias("known"), falling.alias("falling"))
+    return train.top_features(_results(w, train.LATE))
 
 
 @query
 def score_orders(w):
-    """Saved and reloaded late model, scoring every enriched order."""
+    """Every enriched order with its probability to be late and its risk level, by the saved and reloaded late model."""
     folder = new_stage_path(w.spark, "models")
-    train.save_models([_model(w, train.LATE)], folder)
+    train.save_models(_models(w, train.LATE), folder)
     scored = score.risk_bands(score.score_orders(w.enriched, score.load_model(folder)))
-    p = F.col("late_prob")
-    level = F.when(p > 0.7, "HIGH").when(p > 0.4, "MEDIUM").otherwise("LOW")
-    return scored.agg(
-        F.count("*").alias("orders"), F.count_if(p.between(0.0, 1.0)).alias("with_probability"),
-        F.count_if((F.col("risk_level") == level) & (F.col("predicted_late") == (p > 0.5))).alias("banded"),
-        (F.avg(F.when(F.col("is_late") == 1, p)) > F.avg(F.when(F.col("is_late") == 0, p)) + 0.3).alias("separates"))
+    return scored.select("order_id", "late_prob", "predicted_late", "risk_level")
+
+
+@query
+def score_all_models(w):
+    """Every enriched order with the scores of all four models, saved and reloaded."""
+    folder = new_stage_path(w.spark, "models")
+    train.save_models(_models(w, *_TRAINERS), folder)
+    rows = w.enriched
+    for name in _TRAINERS:
+        rows = store.score_orders(rows, score.load_model(folder, name), f"{name}_score")
+    return rows.select("order_id", *[np_round(f"{name}_score", 4).alias(f"{name}_score") for name in _TRAINERS])

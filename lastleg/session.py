@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -72,6 +73,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the program's folder.
+
+    It is enough where workers see that folder; elsewhere ship the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def enable_checkpoints(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage, in the folder the session names."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -115,8 +115,7 @@ MODEL_FEATURES = [
 TEST_SHARE = 0.2
 MODEL_SEED = 42
 BOOSTED_TREES = {
-    "maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3,
+    "trees": 400, "depth": 6, "rate": 0.05, "row_share": 0.8, "column_share": 0.8, "min_child_weight": 3,
 }
 FOREST_BREACH = {"numTrees": 300, "maxDepth": 8, "minInstancesPerNode": 5}
 FOREST_DELAY = {"numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 5}

@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from lastleg.ml import prepare, score, train
+from lastleg.ml import boosting, prepare, score, store, train
 from lastleg.operators import filters, metrics
 from lastleg.plans import etl
 from lastleg.plans.warehouse import warehouse
@@ -77,7 +78,7 @@ def test_missing_orders_stop_the_chain(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def late(w):
-    return train.train_late(w.model_table, iterations=5)
+    return train.train_late(w.model_table, iterations=60)
 
 
 def test_late_model_quality(late):
@@ -126,6 +127,65 @@ def test_results_and_scores_round_trip(spark, w, late, tmp_path):
         score.score_orders(w.enriched.limit(5).withColumn("city", F.lit("Atlantis")), model).collect()
 
 
+def test_boosting_is_alike_on_any_partitions(spark):
+    """The trees are those of plain histogram boosting over all rows, however many partitions hold them."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(900, 5)), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=900) > 0.4).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, e double, y double")
+    args = dict(trees=30, depth=4, rate=0.2, row_share=0.8, column_share=0.8, min_child_weight=2, seed=3)
+    one = boosting.fit(df, list("abcde"), "y", "id", **args)
+    many = boosting.fit(df, list("abcde"), "y", "id", rows_per_partition=300, **args)
+    assert (one.feature == many.feature).all() and (one.threshold == many.threshold).all() and np.allclose(one.value, many.value)
+    p = np.array([r.p for r in df.orderBy("id").select(one.probability().alias("p")).collect()])
+    assert np.allclose(p, 1 / (1 + np.exp(-one.margins(x)))) and brute_auc(list(zip(y, p))) > 0.97
+    assert abs(one.importances().sum() - 1) < 1e-9 and one.importances()[:3].min() > one.importances()[3:].max()
+
+
+def test_first_split_is_the_best_of_all(spark):
+    """The root of the first tree against every split of every feature, by the second-order gain."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 40, (400, 3)).astype(float)
+    y = (x[:, 1] > 17).astype(float) * (rng.random(400) > 0.1)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double")
+    m = boosting.fit(df, list("abc"), "y", "id", trees=1, depth=1, rate=1.0)
+    g, h = y.mean() - y, np.full(400, y.mean() * (1 - y.mean()))
+    worth = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+    gains = {(j, v): worth(x[:, j] <= v) + worth(x[:, j] > v) - worth(x[:, j] < 99) for j in range(3) for v in range(39)
+             if min(h[x[:, j] <= v].sum(), h[x[:, j] > v].sum()) >= 1}
+    best = max(gains, key=gains.get)
+    assert (m.feature[0][0], m.threshold[0][0]) == best and m.gain[0][0] == pytest.approx(gains[best])
+    left = x[:, best[0]] <= best[1]
+    assert m.value[0][1:3].tolist() == pytest.approx([-g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)])
+
+
+def test_constant_labels_and_features(spark):
+    df = spark.createDataFrame([(i, 1.0, 0.0) for i in range(20)], "id long, a double, y double")
+    m = boosting.fit(df, ["a"], "y", "id", trees=2, depth=2, rate=0.1)
+    assert (m.feature == -1).all() and m.importances().tolist() == [0.0]
+    assert all(r.p < 0.01 for r in df.select(m.probability().alias("p")).collect())
+
+
+def test_store_swaps_versions_and_loads_once(spark, w, late, tmp_path):
+    folder = str(tmp_path)
+    first = store.save_models([late.model], folder)
+    held = store.load_model(folder)
+    assert store.load_model(folder) is held
+    breach = train.train_breach(w.model_table, trees=2)
+    delay = train.train_delay(w.model_table, trees=2)
+    second = store.save_models([breach.model, delay.model], folder)
+    assert first != second and store.load_model(folder) is held  # the other models stay
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("manifest")] == ["manifest.json"]
+    rows = w.enriched
+    for name in (train.LATE, train.BREACH, train.DELAY):
+        rows = store.score_orders(rows, store.load_model(folder, name), name)
+    assert rows.count() == w.enriched.count()
+    assert rows.where("late_delivery NOT BETWEEN 0 AND 1 OR sla_breach NOT BETWEEN 0 AND 1 OR delay_estimation < 0").count() == 0
+    again = store.save_models([late.model], folder)
+    newer = store.load_model(folder)
+    assert newer is not held and again != second and (newer.fitted.value == held.fitted.value).all()
+
+
 def test_regressor_status_has_no_auc(spark):
     table = spark.createDataFrame([("delay_estimation", "late orders", None, None, None, None, None, 3.3, 0.88, None, None, None)], train.RESULT_SCHEMA)
     row = train.model_status(table).first()
