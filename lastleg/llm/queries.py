@@ -152,9 +152,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 # The same rules as literals; components by walking all edges.
 _URLS = r"""
 WITH RECURSIVE linked AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) AS link
+  SELECT url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)))) AS link
   FROM pages),
 absolute AS (
   SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'x:' || link
@@ -182,10 +182,10 @@ fitting AS (
   SELECT k.url, r.host || r.path AS rule, r.action, row_number() OVER (PARTITION BY k.url ORDER BY length(r.host || r.path) DESC) AS n
   FROM known k JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)),
 judged AS (
-  SELECT p.page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, f.rule, f.action, coalesce(c.component, k.address) AS alias
-  FROM pages p LEFT JOIN known k ON k.url = p.url LEFT JOIN fitting f ON f.url = p.url AND f.n = 1 LEFT JOIN classes c ON c.node = k.address)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.action, d.decision, 'allow') AS verdict, j.alias
-FROM judged j LEFT JOIN (SELECT alias, min(action) AS decision FROM judged GROUP BY alias) d ON d.alias = j.alias
+  SELECT k.url, k.host, k.path, f.rule, f.action, coalesce(c.component, k.address) AS alias
+  FROM known k LEFT JOIN fitting f ON f.url = k.url AND f.n = 1 LEFT JOIN classes c ON c.node = k.address)
+SELECT p.page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.rule, coalesce(j.action, d.decision, 'allow') AS verdict, j.alias
+FROM pages p LEFT JOIN judged j ON j.url = p.url LEFT JOIN (SELECT alias, min(action) AS decision FROM judged GROUP BY alias) d ON d.alias = j.alias
 """
 
 
@@ -241,7 +241,8 @@ FROM formed
 
 _EXACT = r"""
 WITH bare AS (
-  SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS t FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS t FROM documents),
 placed AS (
   SELECT *, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, r) AS place,
     first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, r) AS keep_id FROM bare)

@@ -86,11 +86,13 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target) urls of the canonical links and redirects in the pages' html."""
+    """(source, target) urls of all canonical links and redirects in the pages' html."""
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1),
-    )
+
+    def named(tag: str, target: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+
+    targets = F.concat(named(_CANONICAL, _HREF), named(_REFRESH, _TARGET))
     links = pages.select(url.alias("url"), F.explode(targets).alias("link")).filter("link <> ''")
     return links.select(F.col("url").alias("source"), _absolute(F.col("link"), F.col("url")).alias("target"))
 
