@@ -15,7 +15,7 @@ A leaf with many rows, as of equal vectors, is dealt to chunks, so that neither
 The leaves with ``first_rows`` rows are reranked first; of the others only rows that reach the k-th score so far are passed on.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do
-rows without id or of another length than most; a repeated id counts once; fewer candidates than k give
+rows without id; other rows all do, also those that repeat an id, and vectors of another length meet those of their length; fewer candidates than k give
 fewer rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +132,23 @@ def _share(forest: Forest, x: np.ndarray, k: int, target: float, tuning: int) ->
 def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 8, leaf_rows: int = 1024, sample: int = 16_384,
            target_recall: float = 0.95, tuning: int = 128, chunk_rows: int = 4096, first_rows: int = 4096, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that meets ``is_query``, a condition on ``id``."""
-    spark = vectors.sparkSession
-    rows, _, n = topk.of_main_length(topk.usable(vectors, zero_too=False))
+    rows = topk.usable(vectors, zero_too=False)
+    options = (k, trees, leaf_rows, sample, target_recall, tuning, chunk_rows, first_rows, seed)
+    found = [_search(rows.filter(F.size("v") == d), is_query, *options) for d in topk.lengths(rows)]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, trees: int, leaf_rows: int, sample: int, target_recall: float, tuning: int, chunk_rows: int,
+            first_rows: int, seed: int) -> DataFrame:
+    """``search`` over vectors of one length."""
+    spark = rows.sparkSession
+    n = rows.count()
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     top = rows.agg(F.max(norm)).first()[0]
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
+    x = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "key").limit(sample).collect()])
     rng = np.random.default_rng(seed)
     lifted = np.column_stack([x, np.sqrt(np.maximum(0, top - (x**2).sum(axis=1)))])
     leaf = max(8, leaf_rows * len(x) // n)
@@ -148,12 +159,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 8, le
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            values = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
             leaves = forest.leaves_of(values).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(leaves), pa.list_(pa.int32()))], ["id", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], ["id", "key", "v", "leaves"])
 
-    keyed = stage(rows.mapInArrow(put, f"id long, v array<double>, leaves {leaf_type}"), "leaves")
-    spread = keyed.select("id", "v", F.explode("leaves").alias("leaf"))
+    keyed = stage(rows.mapInArrow(put, f"id long, key long, v array<double>, leaves {leaf_type}"), "leaves")
+    spread = keyed.select("id", "key", "v", F.explode("leaves").alias("leaf"))
     for r in spread.groupBy("leaf").agg(F.count("*").alias("n")).collect():
         forest.rows[r["leaf"]] = r["n"]
     chunks = np.maximum(1, -(-forest.rows // chunk_rows))
@@ -161,16 +172,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 8, le
     cells = spark.createDataFrame([(i, int(s), int(c)) for i, (s, c) in enumerate(zip(starts, chunks, strict=True))], "l int, start long, chunks long")
     placed = stage(
         spread.join(F.broadcast(cells), F.col("leaf") == F.col("l"))
-        .select((F.col("start") + topk.chunk_of(F.col("id"), F.col("chunks"))).alias("cell"), "id", "v"), "cells",
+        .select((F.col("start") + topk.chunk_of(F.col("chunks"))).alias("cell"), "id", "key", "v"), "cells",
     )
-    queries = keyed.filter(is_query).select("id", "v", F.lit(float("-inf")).alias("tau"))
+    queries = keyed.filter(is_query).select("id", "key", "v", F.lit(float("-inf")).alias("tau"))
     shared = spark.sparkContext.broadcast((forest, starts, chunks))
     found = stage(topk.scan(placed, _visits(queries, shared, budget, first_rows, first=True), k), "first_leaves")
-    later = queries.drop("tau").join(topk.kth_scores(found, k), F.col("id") == F.col("q"), "left").select(
-        "id", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"),
+    later = queries.drop("tau").join(topk.kth_scores(found, k), (F.col("id") == F.col("q")) & (F.col("key") == F.col("qk")), "left").select(
+        "id", "key", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"),
     )
     rest = topk.scan(placed, _visits(later, shared, budget, first_rows, first=False), k)
-    return topk.best(found.unionByName(rest), k)
+    return topk.best(found.unionByName(rest), k).drop("query_key")
 
 
 def _visits(queries: DataFrame, shared, budget: float, first_rows: int, first: bool) -> DataFrame:
@@ -179,7 +190,7 @@ def _visits(queries: DataFrame, shared, budget: float, first_rows: int, first: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, starts, chunks = shared.value
         for batch in batches:
-            values = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            values = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
             at: list[int] = []
             cell: list[int] = []
             for i, q in enumerate(values):
@@ -193,7 +204,7 @@ def _visits(queries: DataFrame, shared, budget: float, first_rows: int, first: b
                     total += forest.rows[leaf]
             for lo in range(0, len(cell), 4096):
                 take = pa.array(at[lo: lo + 4096])
-                arrays = [pa.array(cell[lo: lo + 4096], pa.int64()), *(batch.column(c).take(take) for c in range(3))]
-                yield pa.RecordBatch.from_arrays(arrays, ["cell", "id", "v", "tau"])
+                arrays = [pa.array(cell[lo: lo + 4096], pa.int64()), *(batch.column(c).take(take) for c in range(4))]
+                yield pa.RecordBatch.from_arrays(arrays, ["cell", "id", "key", "v", "tau"])
 
-    return queries.select("id", "v", "tau").mapInArrow(run, "cell long, id long, v array<double>, tau double")
+    return queries.select("id", "key", "v", "tau").mapInArrow(run, "cell long, id long, key long, v array<double>, tau double")

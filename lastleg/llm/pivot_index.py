@@ -13,13 +13,14 @@ the data (for directions spread evenly in many dimensions, few). An annulus with
 queries that need it have to fit a task.
 
 Defined cases: vectors that are null, empty or hold null or non-finite numbers take no part, nor do
-rows without id or of another length than most; zero vectors do; a repeated id counts once; fewer candidates than k give
+rows without id; all others do, zero vectors, repeated ids and lengths of their own too (vectors meet those of their length); fewer candidates than k give
 fewer rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +69,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int | None
 
     ``is_query`` is a condition on ``id``. With ``scale`` components become floor(scale * x).
     """
-    spark = vectors.sparkSession
-    rows, _, n = topk.of_main_length(topk.usable(vectors, zero_too=True))
+    rows = topk.usable(vectors, zero_too=True)
+    options = (k, scale, pivots, sample, ring_rows, most_rings, chunk_rows, first_rows)
+    found = [_search(rows.filter(F.size("v") == d), is_query, *options) for d in topk.lengths(rows)]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, scale: int | None, pivots: int, sample: int, ring_rows: int, most_rings: int, chunk_rows: int,
+            first_rows: int) -> DataFrame:
+    """``search`` over vectors of one length."""
+    spark = rows.sparkSession
+    n = rows.count()
     if scale is not None:
-        rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+        rows = rows.select("id", "key", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     top = rows.agg(F.max(norm)).first()[0] or 0.0
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    taken = rows.orderBy(F.xxhash64("id"), "id", "key").limit(sample).collect()
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.array([r["v"] for r in taken])
@@ -84,12 +95,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int | None
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            values = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
             pivot, ring, r = directory.keys(values)
-            arrays = [batch.column(0), batch.column(1), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(r)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "v", "pivot", "ring", "r"])
+            arrays = [*batch.columns, pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(r)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "v", "pivot", "ring", "r"])
 
-    keyed = stage(rows.mapInArrow(key, "id long, v array<double>, pivot int, ring int, r double"), "keyed")
+    keyed = stage(rows.mapInArrow(key, "id long, key long, v array<double>, pivot int, ring int, r double"), "keyed")
     table = keyed.groupBy("pivot", "ring").agg(F.min("r"), F.max("r"), F.count("*")).orderBy("pivot", "ring").collect()
     directory.annuli = np.array([tuple(r) for r in table], float)
     chunks = -(-directory.annuli[:, 4].astype(np.int64) // chunk_rows)
@@ -99,16 +110,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int | None
     )
     at = (F.col("pivot") == F.col("p")) & (F.col("ring") == F.col("g"))
     placed = stage(
-        keyed.join(F.broadcast(cells), at).select((F.col("start") + topk.chunk_of(F.col("id"), F.col("chunks"))).alias("cell"), "id", "v"), "cells",
+        keyed.join(F.broadcast(cells), at).select((F.col("start") + topk.chunk_of(F.col("chunks"))).alias("cell"), "id", "key", "v"), "cells",
     )
-    queries = keyed.filter(is_query).select("id", "v", F.lit(float("-inf")).alias("tau"))
+    queries = keyed.filter(is_query).select("id", "key", "v", F.lit(float("-inf")).alias("tau"))
     shared = spark.sparkContext.broadcast((directory, starts, chunks))
     found = stage(topk.scan(placed, _visits(queries, shared, first_rows, first=True), k), "first_annuli")
-    later = queries.drop("tau").join(topk.kth_scores(found, k), F.col("id") == F.col("q"), "left").select(
-        "id", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"),
+    later = queries.drop("tau").join(topk.kth_scores(found, k), (F.col("id") == F.col("q")) & (F.col("key") == F.col("qk")), "left").select(
+        "id", "key", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"),
     )
     rest = topk.scan(placed, _visits(later, shared, first_rows, first=False), k)
-    return topk.best(found.unionByName(rest), k)
+    return topk.best(found.unionByName(rest), k).drop("query_key")
 
 
 def _visits(queries: DataFrame, shared, first_rows: int, first: bool) -> DataFrame:
@@ -120,8 +131,8 @@ def _visits(queries: DataFrame, shared, first_rows: int, first: bool) -> DataFra
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                q = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
-                tau = np.asarray(part.column(2))
+                q = np.asarray(part.column(2).flatten()).reshape(part.num_rows, -1)
+                tau = np.asarray(part.column(3))
                 bounds = directory.bounds(q)
                 order = np.argsort(bounds, axis=1, kind="stable")
                 before = np.cumsum(rows[order], axis=1) - rows[order]
@@ -137,7 +148,7 @@ def _visits(queries: DataFrame, shared, first_rows: int, first: bool) -> DataFra
                 cell = np.repeat(starts[annulus], chunks[annulus]) + inside
                 for at in range(0, len(cell), 4096):
                     take = pa.array(i[at: at + 4096])
-                    arrays = [pa.array(cell[at: at + 4096].astype(np.int64)), *(part.column(c).take(take) for c in range(3))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["cell", "id", "v", "tau"])
+                    arrays = [pa.array(cell[at: at + 4096].astype(np.int64)), *(part.column(c).take(take) for c in range(4))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["cell", "id", "key", "v", "tau"])
 
-    return queries.select("id", "v", "tau").mapInArrow(run, "cell long, id long, v array<double>, tau double")
+    return queries.select("id", "key", "v", "tau").mapInArrow(run, "cell long, id long, key long, v array<double>, tau double")

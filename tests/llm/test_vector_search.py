@@ -90,11 +90,31 @@ ODD = [(0, [1.0, 2.0]), (100, [0.0, 0.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0]), (3,
        (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (9, [-1.0, -2.0]), (1, [2.0, 1.0])]
 
 
+def brute(rows, is_query, k, zero_too):
+    """(query_id, rank, vec_id, score) by comparing every row with every other of its length."""
+    use = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero_too or any(v))]
+    out = []
+    for at, (q, x) in enumerate(use):
+        if is_query(q):
+            scored = sorted((-float(x @ v), i) for n, (i, v) in enumerate(use) if n != at and len(v) == len(x))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_repeated_ids_and_lengths_all_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, rng.integers(-3, 4, 2 if i % 4 else 3).astype(float).tolist()) for i in range(200)] + [(1, [0.5, 0.0]), (1, [2.0, 0.0]), (0, [1.0, 0.0])]
+    got = pivot_index.search(vectors(spark, rows), F.col("id") % 20 == 0, 7, scale=None)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 7, True)
+    near = ann_forest.search(vectors(spark, rows), F.col("id") % 20 == 0, 7, target_recall=1.0)
+    assert sorted(map(tuple, near.collect())) == brute(rows, lambda i: i % 20 == 0, 7, False)
+
+
 def test_odd_vectors(spark):
     got = found(pivot_index.search(vectors(spark, ODD), F.col("id") % 100 == 0, 3, scale=None))
-    assert got == {0: [(1, 4.0), (2, 4.0), (100, 0.0)], 100: [(0, 0.0), (1, 0.0), (2, 0.0)]}
+    assert got == {0: [(1, 4.0), (1, 4.0), (2, 4.0)], 100: [(0, 0.0), (1, 0.0), (1, 0.0)]}
     near = found(ann_forest.search(vectors(spark, ODD), F.col("id") % 20 == 0, 20))
-    assert near == {0: [(1, 4.0), (2, 4.0), (9, -5.0)]}
+    assert near == {0: [(1, 4.0), (1, 4.0), (2, 4.0), (9, -5.0)]}
     for rows in ([], [(0, None)], [(0, [1.0])]):
         assert found(pivot_index.search(vectors(spark, rows), F.col("id") % 100 == 0)) == {}
         assert found(ann_forest.search(vectors(spark, rows), F.col("id") % 20 == 0)) == {}
