@@ -8,12 +8,16 @@ best cosine: the neighbours are exact. Each neighbour votes with weight 1 / (0.3
 regression over the examples' own leave-one-out votes, weighted back to the labels' true
 shares, turns the vote into a probability.
 
-What is bounded: examples, at most ``max_examples`` of each label (those with the smallest hash of
-doc_id; equal texts are one example), and terms, at most ``max_terms``, which must depend on the label in the examples (chi-squared of
-25 or more, one in two million by chance). Document frequencies are counted over all documents, and every whole text is scored.
+Every word of an example is a term. Its weight is its inverse document frequency, counted over all documents, times how far the examples
+say that it depends on the label: 1/20 for a word that tells nothing, up to 1 for one that only one label has, rising smoothly with the difference
+of its shares in both labels and with the standard errors that this is worth. So a rare toxic word counts from its first examples on,
+and ordinary words, which all texts share, decide only between examples that have nothing else in common with a text.
+
+What is bounded: examples, at most ``max_examples`` of each label (those with the smallest hash of doc_id; equal texts are one
+example). The words of 3,000 examples make a small index. Every whole text is scored.
 
 Defined cases: a null or empty text, or one without a term of the vocabulary, gets the calibrated share of
-toxic examples without terms; with no labelled document every score is 0; with one label only every
+toxic examples without terms, or of all examples if each has one; with no labelled document every score is 0; with one label only every
 score is 0 or 1 by that label; labels other than 0 and 1 and null ids are ignored; a document
 labelled twice is toxic if one label says so; rows that repeat are scored alike; an empty table gives no rows; other columns are
 ignored, or kept by ``keep_clean``.
@@ -30,15 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lastleg.llm.common import stage_texts, unused
 from lastleg.session import stage
 
 BLOCK = 64
-CHI_SQUARED = 25.0
+LEAST = 0.05  # the weight of a word that tells nothing about the label
 _WORD = re.compile(r"[^\W_]+")
-_KEPT_ANSWERS = 200_000
+_KEPT_ANSWERS = 20_000
 
 
 def words(text: str | None) -> list[str]:
@@ -56,45 +59,63 @@ class Index:
     base_score: float
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's postings begin
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ascending within a term
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's block maxima begin
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    maxima: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    firsts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # where the postings of a term and block begin
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(counts)) * self.idf[terms]
         return weights / np.sqrt((weights**2).sum())
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(self.ids) // BLOCK)
-        self.maxima = np.zeros((len(self.idf), blocks))
-        found: list[list[list]] = [[[[], []] for _ in range(blocks)] for _ in range(len(self.idf))]
-        for i, (terms, counts) in enumerate(vectors):
-            for t, w in zip(terms, self.vector(terms, counts) if len(terms) else [], strict=True):
-                cell = found[t][i // BLOCK]
-                cell[0].append(i % BLOCK)
-                cell[1].append(w)
-                self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], w)
-        self.postings = [[(np.array(a, np.int64), np.array(b, float)) for a, b in row] for row in found]
+        sizes = [len(t) for t, _ in vectors]
+        term = np.concatenate([t for t, _ in vectors]) if sizes else np.zeros(0, np.int64)
+        weight = np.concatenate([self.vector(t, c) if len(t) else np.zeros(0) for t, c in vectors])
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((example, term))
+        term, self.examples, self.weights = term[order], example[order], weight[order]
+        self.starts = np.searchsorted(term, np.arange(len(self.idf) + 1))
+        cell = term * (len(vectors) // BLOCK + 1) + self.examples // BLOCK
+        self.firsts = np.nonzero(np.diff(cell, prepend=-1))[0]
+        self.blocks = self.examples[self.firsts] // BLOCK
+        self.maxima = np.maximum.reduceat(self.weights, self.firsts) if len(cell) else np.zeros(0)
+        self.cells = np.searchsorted(term[self.firsts], np.arange(len(self.idf) + 1))
+        self.firsts = np.append(self.firsts, len(cell))
+
+    def _ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of all ranges, one after the other."""
+        sizes = ends - starts
+        return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, nearest first, ties to the smaller id; cosine 0 is no neighbour."""
         if not len(terms) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         weights = self.vector(terms, counts)
-        bounds = weights @ self.maxima[terms]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == self.k and bounds[block] < best[-1] - 1e-12:
-                break
-            cosine = np.zeros(min(BLOCK, len(self.ids) - block * BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                at, value = self.postings[t][block]
-                cosine[at] += w * value
-            at = np.nonzero(cosine > 0)[0]
-            best_at, best = np.concatenate([best_at, at + block * BLOCK]), np.concatenate([best, np.round(cosine[at], 12)])
-            if without >= 0:
-                best, best_at = best[best_at != without], best_at[best_at != without]
+        at = self._ranges(self.cells[terms], self.cells[terms + 1])
+        mine = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
+        bounds = np.bincount(self.blocks[at], mine * self.maxima[at], -(-len(self.ids) // BLOCK))
+        ranked = np.argsort(-bounds, kind="stable")
+        place = np.empty(len(ranked), np.int64)
+        place[ranked] = np.arange(len(ranked))
+        best_at, best, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while opened < len(ranked) and bounds[ranked[opened]] > 0 and not (len(best) == self.k and bounds[ranked[opened]] < best[-1] - 1e-9):
+            # some blocks are opened together, more each time
+            chosen = (place[self.blocks[at]] >= opened) & (place[self.blocks[at]] < opened + step)
+            cells = at[chosen]
+            postings = self._ranges(self.firsts[cells], self.firsts[cells + 1])
+            query = np.repeat(mine[chosen], self.firsts[cells + 1] - self.firsts[cells])
+            cosine = np.bincount(self.examples[postings], query * self.weights[postings], len(self.ids))
+            found = np.nonzero(cosine > 0)[0]
+            found = found[found != without]
+            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, np.round(cosine[found], 12)])
             order = np.lexsort((self.ids[best_at], -best))[: self.k]
             best_at, best = best_at[order], best[order]
+            opened, step = opened + step, 2 * step
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -160,12 +181,26 @@ def _sample(labels: DataFrame, learn: Column, max_examples: int) -> tuple[DataFr
     )
     known = stage(known, "labels")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    return known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_examples).drop("r"), shares
+    # the hash below which there are max_examples of a label, first to its bucket of 1/4096, then inside that bucket alone
+    placed = known.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.shiftright("h", 52))
+    limits = {}
+    sizes = placed.groupBy("label", "bucket").agg(F.count("*").alias("n")).collect()  # at most 4096 a label
+    for label in shares:
+        before = 0
+        for bucket, n in sorted((r["bucket"], r["n"]) for r in sizes if r["label"] == label):
+            if before + n >= max_examples:
+                inside = placed.filter((F.col("label") == label) & (F.col("bucket") == bucket))
+                limits[label] = inside.orderBy("h", "id").limit(max_examples - before).agg(F.max("h")).first()[0]
+                break
+            before += n
+    chosen = F.lit(False)
+    for label in shares:
+        chosen = chosen | ((F.col("label") == label) & (F.col("h") <= limits[label] if label in limits else F.lit(True)))
+    return placed.filter(chosen).select("id", "label"), shares
 
 
-def _vocabulary(texts: DataFrame, max_terms: int) -> list[str]:
-    """Terms of the examples that depend on the label, by falling chi-squared; from at least 3 examples."""
+def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples, and how far each depends on the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,15 +212,20 @@ def _vocabulary(texts: DataFrame, max_terms: int) -> list[str]:
     size = texts.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = size["n"], size["toxic"] or 0
     if not 0 < toxic < n:
-        return []
+        return [], np.zeros(0)
     seen = texts.select("label", "text").mapInArrow(run, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("m"))
-    a, m = F.col("a").cast("double"), F.col("m").cast("double")
-    chi = n * F.pow(a * (n - toxic) - (m - a) * toxic, 2) / (m * (n - m) * toxic * float(n - toxic))
-    best = seen.filter((F.col("m") >= 3) & (F.col("m") < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARED)
-    return [r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
-
-
-def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_examples: int = 1500, max_terms: int = 1024) -> DataFrame:
+    # as many rows as the examples have words
+    rows = seen.orderBy("term").collect()
+    a, m = (np.array([r[c] for r in rows], float) for c in ("a", "m"))
+    # the rates of the word in both labels, and how many standard errors lie between them
+    p, q = (a + 0.5) / (toxic + 1), (m - a + 0.5) / (n - toxic + 1)
+    error = np.sqrt(p * (1 - p) / (toxic + 1) + q * (1 - q) / (n - toxic + 1))
+    sure = np.abs(p - q) / error
+    purity = np.abs(p - q) / (p + q)
+    return [r["term"] for r in rows], LEAST + (1 - LEAST) * purity * sure**4 / (sure**4 + 81)
+
+
+def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_examples: int = 1500) -> DataFrame:
     """(d, t, score, evidence) of every row: doc_id, text hash, probability, nearest examples (id, cosine, label).
 
     ``learn`` is a condition on the columns of ``labels`` that says which labels may be learned from.
@@ -194,11 +234,11 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
     chosen, shares = _sample(labels, learn, max_examples)
     examples = docs.select(F.col("doc_id").cast("long").alias("x"), "text").join(F.broadcast(chosen), F.col("x") == F.col("id"))
     texts = stage(examples.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
-    vocabulary = _vocabulary(texts, max_terms)
+    vocabulary, depends = _vocabulary(texts)
     featured = stage_texts(_terms(docs, vocabulary), "terms")
     size = featured.count()
     seen = {r["term"]: r["n"] for r in _document_counts(featured, len(vocabulary)).collect()}
-    idf = np.array([np.log((1 + size) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    idf = np.array([np.log((1 + size) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))]) * depends
     rows = _terms(texts.select(F.col("id").alias("doc_id"), "text"), vocabulary).join(texts.select("id", "label"), F.col("d") == F.col("id"))
     shared = spark.sparkContext.broadcast(_fit(rows.select("id", "label", "terms", "counts").orderBy("id").collect(), idf, shares, k))
 
@@ -225,8 +265,15 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
     return featured.mapInArrow(run, "d long, t long, score double, evidence array<struct<id: long, cosine: double, label: int>>")
 
 
+def _alike_together(rows: list, terms: int) -> list:
+    """Examples in the order of their most common words, so that a block holds texts of one language or kind and its maxima tell it from others."""
+    known = np.bincount(np.concatenate([np.array(r["terms"], np.int64) for r in rows]), minlength=terms) if rows else np.zeros(0)
+    return sorted(rows, key=lambda r: (sorted(r["terms"], key=lambda t: (-known[t], t))[:8], r["id"]))
+
+
 def _fit(rows: list, idf: np.ndarray, shares: dict[int, int], k: int) -> Index:
     """The index over the collected examples, calibrated by leaving one out."""
+    rows = _alike_together(rows, len(idf))
     labels = np.array([r["label"] for r in rows], np.int64)
     index = Index(np.array([r["id"] for r in rows], np.int64), labels, idf, k, float(labels.mean()) if len(rows) else 0.0)
     if not len(rows) or labels.min() == labels.max():

@@ -58,6 +58,66 @@ def test_toxic_words_are_learned(spark, make_docs):
     assert [e["cosine"] for e in evidence] == sorted((e["cosine"] for e in evidence), reverse=True)
 
 
+def rare_words(count, seed=3):
+    """Documents of which a quarter hold one of 60 toxic words, each word thus in few of them."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for i in range(count):
+        text = " ".join(f"w{j:04d}" for j in rng.integers(0, 900, 40))
+        docs.append((i, f"{text} vile{rng.integers(60):02d} {text[:20]}" if i % 4 == 0 else text, None, None))
+    return docs
+
+
+def test_rare_toxic_words_are_caught(spark, make_docs):
+    """No toxic word is in more than one in 200 documents; every document that shares a word with an example has evidence."""
+    docs = rare_words(2000)
+    rows = toxicity.score(make_docs(docs), labelled(spark, range(2000), lambda i: int(i % 4 == 0)), F.col("doc_id") % 3 != 1).collect()
+    held_out = [r for r in rows if r["d"] % 3 == 1]
+    toxic = [r["score"] >= 0.7 for r in held_out if r["d"] % 4 == 0]
+    clean = [r["score"] >= 0.7 for r in held_out if r["d"] % 4]
+    assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+    assert all(len(r["evidence"]) == 15 for r in rows)
+
+
+def test_scores_equal_brute_force_over_the_full_vocabulary(spark, make_docs):
+    """Cosines of all documents and examples with every word, votes of the nearest, calibrated as the library does."""
+    docs = rare_words(240)
+    texts = {i: t for i, t, *_ in docs}
+    labels = {i: int(i % 4 == 0) for i in texts}
+    rows = toxicity.score(make_docs(docs), labelled(spark, texts, labels.get), F.col("doc_id") % 3 != 1).collect()
+    examples = sorted(i for i in texts if i % 3 != 1)
+    bags = {i: Counter(toxicity.words(t)) for i, t in texts.items()}
+    vocabulary = sorted({w for i in examples for w in bags[i]})
+    n, toxic = len(examples), sum(labels[i] for i in examples)
+    weight = {}
+    for w in vocabulary:
+        m, a = sum(w in bags[i] for i in examples), sum(w in bags[i] for i in examples if labels[i])
+        p, q = (a + 0.5) / (toxic + 1), (m - a + 0.5) / (n - toxic + 1)
+        sure = abs(p - q) / math.sqrt(p * (1 - p) / (toxic + 1) + q * (1 - q) / (n - toxic + 1))
+        depends = toxicity.LEAST + (1 - toxicity.LEAST) * abs(p - q) / (p + q) * sure**4 / (sure**4 + 81)
+        weight[w] = depends * (math.log((1 + len(texts)) / (1 + sum(w in b for b in bags.values()))) + 1)
+    vectors = {i: {w: (1 + math.log(c)) * weight[w] for w, c in bags[i].items() if w in weight} for i in texts}
+    norms = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+
+    def near(i, leave_out):
+        found = []
+        for e in examples:
+            if leave_out and e == i:
+                continue
+            dot = sum(x * vectors[e][w] for w, x in vectors[i].items() if w in vectors[e])
+            if dot > 0:
+                found.append((-round(dot / norms[i] / norms[e], 12), e))
+        found.sort()
+        votes = [(1 / (1.3 + c), labels[e]) for c, e in found[:15]]
+        return found[:15], sum(v * y for v, y in votes) / sum(v for v, _ in votes)
+
+    x, y = toxicity.isotonic(np.array([near(e, True)[1] for e in examples]), np.array([labels[e] for e in examples], float), np.ones(n))
+    for r in rows:
+        want, vote = near(r["d"], False)
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([-c for c, _ in want], abs=1e-9)
+        assert r["score"] == pytest.approx(np.interp(vote, x, y), abs=1e-6)
+
+
 def test_query(spark):
     rows = QUERIES["op6_toxicity"](spark, DATA).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
