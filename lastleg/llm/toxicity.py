@@ -109,10 +109,14 @@ class Index:
             cells = at[chosen]
             postings = self._ranges(self.firsts[cells], self.firsts[cells + 1])
             query = np.repeat(mine[chosen], self.firsts[cells + 1] - self.firsts[cells])
-            cosine = np.bincount(self.examples[postings], query * self.weights[postings], len(self.ids))
-            found = np.nonzero(cosine > 0)[0]
-            found = found[found != without]
-            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, np.round(cosine[found], 12)])
+            cosine = np.bincount(self.examples[postings], query * self.weights[postings], len(self.ids)).astype(float)
+            cosine = np.round(cosine, 12)
+            if without >= 0:
+                cosine[without] = 0
+            # only what may be among the k best is sorted
+            least = np.partition(cosine, -self.k)[-self.k] if len(cosine) > self.k else 0
+            found = np.nonzero((cosine > 0) & (cosine >= least))[0]
+            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, cosine[found]])
             order = np.lexsort((self.ids[best_at], -best))[: self.k]
             best_at, best = best_at[order], best[order]
             opened, step = opened + step, 2 * step
