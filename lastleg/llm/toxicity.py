@@ -3,8 +3,8 @@
 Texts are TF-IDF vectors over a vocabulary, and a text is scored by its ``k`` nearest labelled
 examples by exact cosine. Examples lie in an inverted index in blocks of ``BLOCK``; for each term
 and block the largest weight is kept. The sum of these maxima bounds the cosine of every example in
-the block, so blocks are opened by falling bound and the search stops when no bound reaches the k-th
-best cosine: the neighbours are exact. Each neighbour votes with weight 1 / (0.3 + 1 - cosine), and isotonic
+the block. The blocks of the highest bounds are opened first, then every other one whose bound reaches the k-th best cosine
+found there: the neighbours are exact. Each neighbour votes with weight 1 / (0.3 + 1 - cosine), and isotonic
 regression over the examples' own leave-one-out votes, weighted back to the labels' true
 shares, turns the vote into a probability.
 
@@ -39,6 +39,9 @@ from lastleg.llm.common import stage_texts, unused
 from lastleg.session import stage
 
 BLOCK = 64
+COMMON = 32  # a word in more than one of so many examples is common
+FIRST_BLOCKS = 4
+TOGETHER = 400_000  # postings and examples that one search may hold
 LEAST = 0.05  # the weight of a word that tells nothing about the label
 _WORD = re.compile(r"[^\W_]+")
 _KEPT_ANSWERS = 20_000
@@ -50,7 +53,10 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Normalised example vectors as postings by term, in blocks of examples, with block maxima."""
+    """Normalised example vectors as postings by term, in blocks of examples, with block maxima.
+
+    The postings of a word that more than 1/``COMMON`` of the examples have are full rows, with zeros, so that many texts meet them in one product.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
@@ -59,7 +65,10 @@ class Index:
     base_score: float
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's postings begin
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the row of a common term, else -1
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))  # (block, row, example of the block)
+    tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # (row, block): the block maxima of common terms
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the postings of a rarer term begin
     examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ascending within a term
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cells: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's block maxima begin
@@ -77,9 +86,19 @@ class Index:
         weight = np.concatenate([self.vector(t, c) if len(t) else np.zeros(0) for t, c in vectors])
         example = np.repeat(np.arange(len(vectors)), sizes)
         order = np.lexsort((example, term))
-        term, self.examples, self.weights = term[order], example[order], weight[order]
+        term, example, weight = term[order], example[order], weight[order]
+        count = -(-len(vectors) // BLOCK)
+        common = np.nonzero(np.bincount(term, minlength=len(self.idf)) * COMMON > len(vectors))[0]
+        self.rows = np.full(len(self.idf), -1)
+        self.rows[common] = np.arange(len(common))
+        row = self.rows[term]
+        full, rest = row >= 0, row < 0
+        self.dense = np.zeros((count, len(common), BLOCK))
+        self.dense[example[full] // BLOCK, row[full], example[full] % BLOCK] = weight[full]
+        self.tops = self.dense.max(axis=2).T.copy()
+        term, self.examples, self.weights = term[rest], example[rest], weight[rest]
         self.starts = np.searchsorted(term, np.arange(len(self.idf) + 1))
-        cell = term * (len(vectors) // BLOCK + 1) + self.examples // BLOCK
+        cell = term * (count + 1) + self.examples // BLOCK
         self.firsts = np.nonzero(np.diff(cell, prepend=-1))[0]
         self.blocks = self.examples[self.firsts] // BLOCK
         self.maxima = np.maximum.reduceat(self.weights, self.firsts) if len(cell) else np.zeros(0)
@@ -91,36 +110,71 @@ class Index:
         sizes = ends - starts
         return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, nearest first, ties to the smaller id; cosine 0 is no neighbour."""
-        if not len(terms) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        weights = self.vector(terms, counts)
-        at = self._ranges(self.cells[terms], self.cells[terms + 1])
-        mine = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
-        bounds = np.bincount(self.blocks[at], mine * self.maxima[at], -(-len(self.ids) // BLOCK))
-        ranked = np.argsort(-bounds, kind="stable")
-        place = np.empty(len(ranked), np.int64)
-        place[ranked] = np.arange(len(ranked))
-        best_at, best, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while opened < len(ranked) and bounds[ranked[opened]] > 0 and not (len(best) == self.k and bounds[ranked[opened]] < best[-1] - 1e-9):
-            # some blocks are opened together, more each time
-            chosen = (place[self.blocks[at]] >= opened) & (place[self.blocks[at]] < opened + step)
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, counts): positions and cosines of the k nearest examples, nearest first, ties to the smaller id.
+
+        Cosine 0 is no neighbour, nor is the example at the position that ``without`` names for a query. Queries are searched together, as many as
+        have ``TOGETHER`` postings.
+        """
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        waiting: list[int] = []
+        postings = 0
+        for i, (terms, _) in enumerate(queries):
+            if len(terms) and len(self.ids):
+                waiting.append(i)
+                postings += len(self.ids) + int((self.starts[terms + 1] - self.starts[terms]).sum())
+            if waiting and (postings >= TOGETHER or i == len(queries) - 1):
+                found = self._search([queries[j] for j in waiting], [without[j] if without else -1 for j in waiting])
+                for j, answer in zip(waiting, found, strict=True):
+                    out[j] = answer
+                waiting, postings = [], 0
+        return out
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        size, count = len(queries), len(self.dense)
+        width = count * BLOCK
+        text = np.repeat(np.arange(size), [len(t) for t, _ in queries])
+        term = np.concatenate([t for t, _ in queries])
+        mine = np.concatenate([self.vector(t, c) for t, c in queries])
+        row = self.rows[term]
+        full, rest = row >= 0, row < 0
+        common = np.zeros((size, self.tops.shape[0]))
+        common[text[full], row[full]] = mine[full]
+        spans = self.cells[term[rest] + 1] - self.cells[term[rest]]
+        at = self._ranges(self.cells[term[rest]], self.cells[term[rest] + 1])
+        text, mine, block = np.repeat(text[rest], spans), np.repeat(mine[rest], spans), self.blocks[at]
+        bounds = common @ self.tops + np.bincount(text * count + block, mine * self.maxima[at], size * count).reshape(size, count)
+        cosine = np.zeros((size, width))
+
+        def look(opened: np.ndarray) -> np.ndarray:
+            """Cosines of the opened blocks are added up; the k-th best of each text, 0 with fewer."""
+            for b in range(count):
+                who = np.nonzero(opened[:, b])[0]
+                if len(who):
+                    cosine[who, b * BLOCK : (b + 1) * BLOCK] = common[who] @ self.dense[b]
+            chosen = opened[text, block]
             cells = at[chosen]
+            long = self.firsts[cells + 1] - self.firsts[cells]
             postings = self._ranges(self.firsts[cells], self.firsts[cells + 1])
-            query = np.repeat(mine[chosen], self.firsts[cells + 1] - self.firsts[cells])
-            cosine = np.bincount(self.examples[postings], query * self.weights[postings], len(self.ids)).astype(float)
-            cosine = np.round(cosine, 12)
-            if without >= 0:
-                cosine[without] = 0
-            # only what may be among the k best is sorted
-            least = np.partition(cosine, -self.k)[-self.k] if len(cosine) > self.k else 0
-            found = np.nonzero((cosine > 0) & (cosine >= least))[0]
-            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, cosine[found]])
-            order = np.lexsort((self.ids[best_at], -best))[: self.k]
-            best_at, best = best_at[order], best[order]
-            opened, step = opened + step, 2 * step
-        return best_at, best
+            places = np.repeat(text[chosen] * width, long) + self.examples[postings]
+            cosine[:] += np.bincount(places, np.repeat(mine[chosen], long) * self.weights[postings], size * width).reshape(size, width)
+            np.round(cosine, 12, out=cosine)
+            for i, at_ in enumerate(without):
+                if at_ >= 0:
+                    cosine[i, at_] = 0
+            return np.partition(cosine, -self.k, axis=1)[:, -self.k] if width > self.k else np.zeros(size)
+
+        # first the blocks of the highest bounds, then all whose bound reaches what these gave
+        few = min(FIRST_BLOCKS, count)
+        opened = bounds >= np.partition(bounds, -few, axis=1)[:, -few][:, None]
+        least = look(opened & (bounds > 0))
+        least = look(~opened & (bounds > 0) & (bounds >= least[:, None] - 1e-9))
+        out = []
+        for i in range(size):
+            found = np.nonzero((cosine[i] > 0) & (cosine[i] >= least[i]))[0]
+            order = np.lexsort((self.ids[found], -cosine[i, found]))[: self.k]
+            out.append((found[order], cosine[i, found[order]]))
+        return out
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (0.3 + 1 - cosine)
@@ -248,18 +302,22 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        answers: dict[tuple, tuple[float, list]] = {}
+        answers: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
-            out = []
-            for terms, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (*terms, *counts)
+            if len(answers) >= _KEPT_ANSWERS:
+                answers.clear()
+            keys, new = [], {}
+            ends = np.asarray(batch.column(2).offsets)
+            terms, counts = (np.asarray(batch.column(c).values) for c in (2, 3))
+            for start, end in zip(ends, ends[1:], strict=False):
+                key = terms[start:end].tobytes() + counts[start:end].tobytes()
+                keys.append(key)
                 if key not in answers:
-                    if len(answers) >= _KEPT_ANSWERS:
-                        answers.clear()
-                    at, cosine = index.nearest(np.array(terms, np.int64), np.array(counts, float))
-                    near = [(int(index.ids[i]), float(c), int(index.labels[i])) for i, c in zip(at, cosine, strict=True)]
-                    answers[key] = (index.score(at, cosine), [{"id": i, "cosine": c, "label": y} for i, c, y in near])
-                out.append(answers[key])
+                    new[key] = (terms[start:end].astype(np.int64), counts[start:end].astype(float))
+            for key, (at, cosine) in zip(new, index.nearest(list(new.values())), strict=True):
+                near = [(int(index.ids[i]), float(c), int(index.labels[i])) for i, c in zip(at, cosine, strict=True)]
+                answers[key] = (index.score(at, cosine), [{"id": i, "cosine": c, "label": y} for i, c, y in near])
+            out = [answers[key] for key in keys]
             kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)],
@@ -286,8 +344,7 @@ def _fit(rows: list, idf: np.ndarray, shares: dict[int, int], k: int) -> Index:
     index.build(vectors)
     weight = np.array([shares[y] / (labels == y).sum() for y in (0, 1)])[labels]
     votes, bare = np.full(len(rows), np.nan), np.zeros(len(rows), bool)
-    for i, (terms, counts) in enumerate(vectors):
-        at, cosine = index.nearest(terms, counts, without=i)
+    for i, (at, cosine) in enumerate(index.nearest(vectors, without=list(range(len(vectors))))):
         bare[i] = not len(at)
         if len(at):
             votes[i] = index.vote(at, cosine)
