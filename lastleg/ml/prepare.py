@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lastleg import settings
 from lastleg.functions.numeric import dbl
 from lastleg.operators.joins import lookup_join
+from lastleg.operators.selection import exact_quantile
 
 CITY_CODE = "city_enc"
 
@@ -31,13 +32,8 @@ def encode_city(df: DataFrame) -> DataFrame:
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row with the median, from counts per distinct value.
-
-    The counts are shuffled by value, so the last step sees each distinct value once, not
-    once per map task. Features are rounded: they have few distinct values.
-    """
-    values = df.select(dbl(column).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
-    return values.agg(F.percentile("v", 0.5, F.col("n")))
+    """One row with the median, none without values; found by narrowing ranges, so any number of distinct values is fine."""
+    return exact_quantile(df, column, 0.5)
 
 
 def impute_medians(df: DataFrame, features: list[str]) -> DataFrame:

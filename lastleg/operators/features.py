@@ -97,17 +97,20 @@ def join_city_congestion(orders: DataFrame, small: bool | None = None, source: D
     return lookup_join(orders, city_hour_congestion(source), ["city", "hour_of_day"], small=small, keys_from=source)
 
 
-def engineer(orders: DataFrame, riders: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+def engineer(
+    orders: DataFrame, riders: DataFrame | None = None, small: bool | None = None, averages_over: DataFrame | None = None,
+) -> DataFrame:
     """Orders with all engineered columns.
 
     ``orders`` is read several times (rows, store-day counts, city-hour means), each time with
     only the columns needed, so pass a stored table. ``small`` forces the join strategy of
-    every lookup; by default each lookup's size is checked.
+    every lookup; by default each lookup's size is checked. Where ``orders`` holds some days only, whole ones,
+    ``averages_over`` names all orders for the city-hour means.
     """
     rows = orders.withColumns({
         **time_features(), **operational_flags(), **ratio_features(), "late_risk_score": late_risk_score(),
     })
     rows = join_riders(rows, riders, small, orders)
     rows = join_store_load(rows, small, orders)
-    rows = join_city_congestion(rows, small, orders)
+    rows = join_city_congestion(rows, small, orders if averages_over is None else averages_over)
     return rows.select(*orders.columns, *ENGINEERED)

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from lastleg import settings
 from lastleg.functions import dates, text
-from lastleg.functions.numeric import clip, dbl, exact_avg, np_round
+from lastleg.functions.numeric import clip, dbl, dec_round, exact_avg, np_round
 from lastleg.ml import prepare, score, store, train
-from lastleg.operators import derive, features, filters, geo, joins, kpi, metrics, quality, rollups, rules, sampling
+from lastleg.operators import derive, features, filters, geo, joins, kpi, metrics, quality, resample, rollups, rules, sampling, selection
 from lastleg.plans import datasets, etl, views
 from lastleg.plans.warehouse import Warehouse, warehouse
 from lastleg.session import new_stage_path
@@ -125,6 +125,19 @@ def etl_run(w):
     return built["city_daily_kpis"]
 
 
+@query
+def etl_update(w):
+    """All orders but the newest day's, then an update that brings that day."""
+    folder, out = new_stage_path(w.spark, "raw"), new_stage_path(w.spark, "derived")
+    newest = w.deliveries.agg(F.max(F.to_date("created_at"))).first()[0]
+    ordered = w.deliveries.orderBy("order_id", *quality.ORDER_TIE_BREAK)
+    earlier = ordered.where(~F.to_date("created_at").eqNullSafe(F.lit(newest)))
+    tables.save_tables({**w.raw, "orders": earlier}, folder, tables.RAW_TABLES)
+    etl.update(w.spark, folder, out)
+    tables.write_table(ordered, folder, "orders")
+    return etl.update(w.spark, folder, out)["city_daily_kpis"]
+
+
 def _union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for other in parts[1:]:
@@ -643,6 +656,26 @@ def weighted_bootstrap(w):
     return sampling.weighted_bootstrap(w.orders)
 
 
+@query
+def weighted_resample(w):
+    """As many draws as orders, by cost in hundredths."""
+    weighed = w.orders.select("order_id", F.round(F.col("total_cost_inr") * 100).alias("hundredths"))
+    return resample.weighted_resample(weighed, "order_id", "hundredths", w.orders.count())
+
+
+@query
+def delivery_quantiles(w):
+    """Exact quartiles and P95 of delivery times per city and order type, and the median of costs over all orders."""
+    parts = [
+        selection.exact_quantile(w.orders, "actual_delivery_min", share, ("city", "order_type")).select("city", "order_type", F.lit(name).alias("measure"), "value")
+        for name, share in (("minutes_q1", 0.25), ("minutes_median", 0.5), ("minutes_q3", 0.75), ("minutes_p95", 0.95))
+    ]
+    none = F.lit(None).cast("string")
+    cost = selection.exact_quantile(w.orders, "total_cost_inr", 0.5)
+    parts.append(cost.select(none.alias("city"), none.alias("order_type"), F.lit("cost_median").alias("measure"), "value"))
+    return _union_all(parts).withColumn("value", dec_round("value", 4))
+
+
 @query
 def distinct_cities(w):
     return prepare.distinct_cities(w.orders)

@@ -14,14 +14,20 @@ from lastleg.ml import train
 from lastleg.operators import features, quality, rollups
 from lastleg.operators.filters import DAY_COLUMN
 from lastleg.plans import views
-from lastleg.session import on_release, prepare, stage
+from lastleg.session import files_state, on_release, prepare, stage
 from lastleg.sources import star_adapter
 
 
+def source_state(spark: SparkSession, data_dir: str) -> tuple:
+    """What the files behind the tables look like: another state means that stored tables are out of date."""
+    return files_state(spark, [f"{data_dir.rstrip('/')}/{name}.parquet" for name in star_adapter.SOURCES])
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = prepare(spark)
         self.data_dir = data_dir.rstrip("/")
+        self.source = source_state(spark, data_dir)
         self.models: dict[str, train.Trained] = {}
 
     @staticmethod
@@ -100,15 +106,15 @@ _open: dict[tuple[str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, data_dir: str) -> Warehouse:
-    """The warehouse of a folder, shared by all queries of one Spark application."""
+    """The warehouse of a folder, shared by all queries of one Spark application until files of the folder change."""
     key = (spark.sparkContext.applicationId, data_dir.rstrip("/"))
-    if key not in _open:
+    if key not in _open or _open[key].source != source_state(spark, data_dir):
         _open[key] = Warehouse(spark, data_dir)
     return _open[key]
 
 
 def refresh(spark: SparkSession, data_dir: str) -> Warehouse:
-    """A new warehouse, after the files of a folder have changed."""
+    """A new warehouse, whether files of the folder have changed or not."""
     _open.pop((spark.sparkContext.applicationId, data_dir.rstrip("/")), None)
     return warehouse(spark, data_dir)
 

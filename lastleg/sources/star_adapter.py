@@ -21,6 +21,10 @@ from lastleg.sources.schemas import DARK_STORES, ORDERS, RIDERS, WEATHER, Table
 CITY_NAMES = list(settings.CITIES)
 
 
+# The given tables that the delivery tables are made of.
+SOURCES = ("lineitem", "orders", "supplier", "customer", "events")
+
+
 def _read(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
