@@ -1,24 +1,25 @@
 """Repeated runs of lines, found by winnowing over line hashes and deleted from later documents.
 
-A line counts with its surrounding blanks cut off; lines without a word are transparent. From
-every line two windows reach out, one forward and one backward, each the shortest run of lines
-with ``min_words`` words. The smallest line hash of a window is its fingerprint, so two equal
-runs of ``min_words`` words or more are guaranteed to share one.
-
-1. select: the minimum of every window, and its position;
-2. join positions: windows whose fingerprint occurs at two positions or more are matched with
-   the first window of the same fingerprint and content;
-3. extend: the forward windows of a repeated run reach all lines up to its last full window, the
-   backward windows those from its first full window on, so both together cover the whole run;
-4. delete: every line in a window that occurred before, in the order of doc_id and line. The
+A line counts with its surrounding blanks cut off; lines without a word are transparent. A window is the
+shortest run of lines from a line on with ``min_words`` words.
+
+1. select: the smallest line hash of each window, the leftmost of equal ones, is a fingerprint. It is kept
+   once for each position, where the minimum of the sliding window changes. Equal runs of
+   ``min_words`` words or more hold equal windows, so they are guaranteed to share a fingerprint;
+2. join positions: fingerprints selected at two positions or more make these positions anchors;
+3. extend: from each anchor the line hashes are compared both ways, forward in the windows that have it as
+   minimum, backward in the shortest runs that hold it and end in a given line. The former reach
+   from the first line of a repeated run to its last full window, the latter on to its last line;
+4. delete: every line in an extended match that occurred before, in the order of doc_id and line. The
    first occurrence of a run stays.
 
 So a line goes exactly if it lies in a run of ``min_words`` words or more that occurred earlier, within
 the same document too; blank lines go with the lines on both sides. Line order of what stays is kept.
 
-All steps are DataFrame operations. No pairs are formed: each window meets one first window, so
-a line that a third of all documents share costs one row for each of them. The two tables that meet
-on a fingerprint are stored before, and adaptive execution splits the common ones.
+All steps are DataFrame operations. No pairs are formed: each extended match meets the first of its content, so
+a line that a third of all documents share costs one row for each of them. Tables that meet
+on a fingerprint are stored before, and adaptive execution splits the common ones. Lines of texts without an
+anchor are not looked at again.
 
 Defined cases: a null text stays null, an empty one empty; a document that only repeats keeps its row
 with an empty text; rows with equal doc_id and text are one document and get the same result; a null
@@ -41,8 +42,16 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: document (d, t), position, hash, words, words before it, number."""
+def _ahead(min_words: int):
+    return Window.partitionBy(*_DOC).orderBy("before").rangeBetween(0, min_words - 1)
+
+
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row for each line with a word: document (d, t), position, number, hash, words before it and up to its end.
+
+    ``least`` and ``fp`` are number and hash of the minimum of the window that starts here, null where the window before has
+    the same minimum and where too few words follow.
+    """
     exploded = docs.select(
         F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"),
     ).select("d", "t", "pos", F.xxhash64(F.trim("line")).alias("h"), F.regexp_count("line", F.lit(r"[^ \t\r]+")).alias("words"))
@@ -53,40 +62,61 @@ def line_table(docs: DataFrame) -> DataFrame:
     in_order = Window.partitionBy(*_DOC).orderBy("pos")
     upto = F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     counted = one.withColumns({"upto": upto, "number": F.row_number().over(in_order)})
-    return counted.withColumn("before", F.col("upto") - F.col("words"))
+    placed = counted.withColumn("before", F.col("upto") - F.col("words"))
+    ahead = _ahead(min_words)
+    slid = placed.withColumn("m", F.when(F.sum("words").over(ahead) >= min_words, F.min(F.struct("h", "number")).over(ahead)))
+    changed = ~F.col("m.number").eqNullSafe(F.lag("m.number").over(Window.partitionBy(*_DOC).orderBy("before")))
+    return slid.select(
+        *_DOC, "pos", "number", "h", "before", "upto",
+        F.when(changed, F.col("m.number")).alias("least"), F.when(changed, F.col("m.h")).alias("fp"),
+    )
+
 
+def selected(lines: DataFrame) -> DataFrame:
+    """(d, t, number, fp): each selected position once."""
+    return lines.filter("least IS NOT NULL").select(*_DOC, F.col("least").alias("number"), "fp")
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Forward and backward windows: (d, t, lo, hi, first, last, fp, fp_pos, content); first and last number the lines with words."""
-    ahead = Window.partitionBy(*_DOC).orderBy("before").rangeBetween(0, min_words - 1)
+
+def anchors(lines: DataFrame) -> DataFrame:
+    """(d, t, number): selected positions whose fingerprint is selected elsewhere too."""
+    shared = stage(selected(lines).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "shared_fingerprints")
+    return selected(lines).join(shared, "fp", "left_semi").select(*_DOC, "number")
+
+
+def extended(lines: DataFrame, anchored: DataFrame, min_words: int) -> DataFrame:
+    """Runs of lines around anchors: (d, t, lo, hi, first, last, fp, content); first and last number the lines with words."""
+    columns = ["pos", "h", "before", "upto"]
+    plain = lines.select(*_DOC, "number", *columns, F.lit(False).alias("anchor"))
+    marks = anchored.select(*_DOC, "number", *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("anchor"))
+    # brought together by document, as the windows need them, not by document and number
+    marked = (
+        plain.unionByName(marks).repartition(*_DOC).groupBy(*_DOC, "number")
+        .agg(*[F.max(c).alias(c) for c in columns], F.max("anchor").alias("anchor"))
+    )
+    near = marked.withColumn("any", F.max("anchor").over(Window.partitionBy(*_DOC))).filter("any")
     behind = Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(-(min_words - 1), 0)
 
-    def of(w) -> Column:
-        return F.struct(
-            F.min("pos").over(w).alias("lo"), F.max("pos").over(w).alias("hi"), F.sum("words").over(w).alias("n"),
-            F.min("number").over(w).alias("first"), F.max("number").over(w).alias("last"),
-            F.min(F.struct("h", "pos")).over(w).alias("least"), F.xxhash64(F.collect_list("h").over(w)).alias("content"),
+    def of(w, keep: Column) -> Column:
+        run = F.struct(
+            F.min("pos").over(w).alias("lo"), F.max("pos").over(w).alias("hi"), F.min("number").over(w).alias("first"),
+            F.max("number").over(w).alias("last"), F.min("h").over(w).alias("fp"), F.xxhash64(F.collect_list("h").over(w)).alias("content"),
         )
+        enough = F.max("upto").over(w) - F.min("before").over(w) >= min_words
+        return F.when(enough & keep, run)
 
-    wide = lines.select(*_DOC, of(ahead).alias("a"), of(behind).alias("b"))
-    both = wide.select(*_DOC, F.explode(F.array("a", "b")).alias("w")).filter(F.col("w.n") >= min_words)
-    return both.select(
-        *_DOC, "w.lo", "w.hi", "w.first", "w.last", F.col("w.least.h").alias("fp"),
-        F.col("w.least.pos").alias("fp_pos"), F.col("w.content").alias("content"),
-    ).distinct()
+    ahead = _ahead(min_words)
+    forward = of(ahead, F.min(F.struct("h", "number", "anchor")).over(ahead)["anchor"])
+    wide = near.select(*_DOC, forward.alias("a"), of(behind, F.max("anchor").over(behind)).alias("b"))
+    return wide.select(*_DOC, F.explode(F.array("a", "b")).alias("w")).filter("w IS NOT NULL").select(*_DOC, "w.*").distinct()
 
 
-def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, t, lo, hi, first, last) of every window that occurred before."""
-    found = stage(windows(line_table(docs), min_words), "windows")
-    place = F.struct("d", "t", "fp_pos")
-    shared = stage(
-        found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp"), "shared_fingerprints",
-    )
-    matched = stage(found.join(shared, "fp", "left_semi"), "candidates")
+def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, t, lo, hi, first, last) of every extended match that occurred before."""
+    lines = stage(line_table(docs, min_words), "lines")
+    matched = stage(extended(lines, stage(anchors(lines), "anchors"), min_words), "extended")
     first = stage(
         matched.groupBy("fp", "content").agg(F.min(F.struct("d", "t", "lo", "hi")).alias("earliest"), F.count("*").alias("n"))
-        .filter("n > 1").select(F.col("fp").alias("f"), F.col("content").alias("c"), "earliest"), "first_windows",
+        .filter("n > 1").select(F.col("fp").alias("f"), F.col("content").alias("c"), "earliest"), "first_runs",
     )
     again = matched.join(first, (F.col("fp") == F.col("f")) & (F.col("content") == F.col("c")))
     later = F.struct("d", "t", "lo", "hi") > F.col("earliest")
@@ -95,7 +125,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
 
 def removed_spans(docs: DataFrame, min_words: int) -> DataFrame:
     """(d, t, spans): the maximal line intervals to delete from each document."""
-    spans = repeated_windows(docs, min_words).distinct()
+    spans = repeated_runs(docs, min_words).distinct()
     by_start = Window.partitionBy(*_DOC).orderBy("lo", "hi")
     reach = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("new", (F.coalesce(F.col("first") > reach + 1, F.lit(True))).cast("int"))

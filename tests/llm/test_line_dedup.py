@@ -40,6 +40,36 @@ def _run(df, min_words):
     return line_dedup.dedup_lines(df.withColumn("before", F.col("text")), min_words).collect()
 
 
+def test_minima_of_windows_are_selected_once(spark, make_docs):
+    import random
+    rng = random.Random(8)
+    pool = [words(rng.randint(1, 6), 100 * i) for i in range(40)]
+    docs = make_docs([(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 60))), None, None) for i in range(30)])
+    lines = line_dedup.line_table(docs, 20).cache()
+    by_doc, want = {}, set()
+    for r in sorted(lines.collect(), key=lambda r: (r["d"], r["number"])):
+        by_doc.setdefault(r["d"], []).append(r)
+    for d, rows in by_doc.items():
+        for i in range(len(rows)):
+            ahead = [r for r in rows[i:] if r["before"] < rows[i]["before"] + 20]
+            if ahead[-1]["upto"] - ahead[0]["before"] >= 20:
+                least = min(ahead, key=lambda r: (r["h"], r["number"]))
+                want.add((d, least["number"], least["h"]))
+    got = [(r["d"], r["number"], r["fp"]) for r in line_dedup.selected(lines).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) < 0.5 * lines.count()
+    lines.unpersist()
+
+
+def test_tail_of_a_run_follows_the_occurrence_that_goes_on(make_docs):
+    """The first copy of the run's windows ends early; a later copy goes on, and so does the third."""
+    run, tail = "\n".join(words(10, 10 * i) for i in range(5)), words(7, 900)
+    text = {r["doc_id"]: r["text"] for r in _run(make_docs([
+        (1, f"{run}\nown end", None, None), (2, f"{words(3, 800)}\n{run}\n{tail}", None, None), (3, f"{run}\n{tail}\nlast", None, None),
+    ]), 50)}
+    assert text[2] == f"{words(3, 800)}\n{tail}" and text[3] == "last"
+
+
 def test_long_passages_go_and_short_lines_stay(make_docs):
     passage = words(55)
     rows = _run(make_docs([
