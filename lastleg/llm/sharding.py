@@ -4,10 +4,10 @@ A group (equal texts) is a vector of bytes, tokens (words) and rows, each as a s
 shard should hold. Groups are placed largest first where the dot product with the residual capacity of
 the shard is highest, among the shards it fits into if there are any.
 
-The placement sees a bounded number of items at any corpus size: ``bundles`` hash classes of groups, and
-groups that would take over half a shard by any measure, of which there are at most six for each
-shard. Only those are split, by a hash of doc_id into parts of about an eighth of a shard; every other group stays in one
-shard. Bytes are near equal as long as no single bundle is a large part of a shard.
+Every group above 1/``SINGLE`` of a shard by any measure is placed by itself; of such groups there are at most
+3 * ``SINGLE`` for each shard, however large the corpus. The small rest is placed as ``bundles`` hash
+classes of groups. Only a group above a whole shard is split, by a hash of doc_id into parts of about an eighth of a shard;
+every other one stays in one shard. Bytes are near equal as long as no single item is a large part of a shard.
 
 Defined cases: a null text has 8 bytes, no tokens and the checksum of an empty text; repeated rows are
 rows of their own in the same shard; null doc_ids are kept; an empty table gives no rows; other columns
@@ -24,6 +24,7 @@ from lastleg.llm.common import numbered
 from lastleg.session import stage
 
 ROW_BYTES = 8
+SINGLE = 200
 _MEASURES = ["bytes", "tokens", "rows"]
 
 
@@ -42,7 +43,7 @@ def best_shards(items: np.ndarray, shards: int) -> np.ndarray:
     residual = np.ones((shards, items.shape[1]))
     chosen = np.zeros(len(items), np.int64)
     for i in np.argsort(-items.max(axis=1), kind="stable"):
-        score = residual @ items[i]
+        score = np.round(residual @ items[i], 12)  # ties are the same on every machine
         fits = (residual >= items[i] - 1e-12).all(axis=1)
         at = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
         residual[at] -= items[i]
@@ -59,14 +60,15 @@ def place(docs: DataFrame, shards: int = 24, bundles: int = 6144) -> DataFrame:
     share = {m: max(total[m] or 0, 1) / shards for m in _MEASURES}
     groups = base.groupBy("g").agg(*sums)
     taken = F.greatest(*[F.col(m) / share[m] for m in _MEASURES])
-    large = stage(groups.filter(taken > 0.5).select(F.col("g").alias("big"), F.ceil(8 * taken).cast("long").alias("parts")), "large_groups")
-    # at most 2 * shards large groups for each of the three measures
+    parts = F.when(taken > 1, F.ceil(8 * taken)).otherwise(1).cast("long")
+    large = stage(groups.filter(taken > 1 / SINGLE).select(F.col("g").alias("big"), parts.alias("parts")), "large_groups")
+    # at most SINGLE * shards large groups for each of the three measures
     split = base.join(F.broadcast(large), F.col("g") == F.col("big"), "left")
     keyed = split.withColumn(
         "item", F.when(F.col("big").isNull(), F.concat(F.lit("b"), F.pmod("g", F.lit(bundles))))
         .otherwise(F.concat_ws(":", "big", F.pmod(F.xxhash64("doc_id"), "parts"))),
     ).select(*base.columns, "item")
-    rows = keyed.groupBy("item").agg(*sums).orderBy("item").collect()  # bundles and parts: bounded
+    rows = keyed.groupBy("item").agg(*sums).orderBy("item").collect()  # bundles, large groups and parts: bounded
     vectors = np.array([[r[m] / share[m] for m in _MEASURES] for r in rows]).reshape(-1, 3)
     chosen = best_shards(vectors, shards)
     where = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(rows, chosen, strict=True)], "item string, shard int")
