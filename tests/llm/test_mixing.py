@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+import xxhash
 
 from lastleg.llm import mixing
 from llm.conftest import words
@@ -50,6 +51,54 @@ def test_a_budget_below_the_corpus_takes_parts(make_docs):
     assert Counter(r["s"] for r in rows) == {"a": 50, "b": 50} and {r["epoch"] for r in rows} == {0}
 
 
+def hashed(*values, blocks=None):
+    """Chained 64-bit hashes of an int and longs, as the engine's own function gives them."""
+    seed = 42
+    for size, v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), seed=seed)
+    n = seed - (1 << 64) if seed >= 1 << 63 else seed
+    return n if blocks is None else n % blocks
+
+
+def slow_schedule(docs, mixes, block_tokens, seed=1):
+    """(doc, epoch, place in the mix) by a loop over sources, passes, blocks and documents."""
+    def text_hash(text):
+        n = xxhash.xxh64_intdigest(text.encode(), seed=42)
+        return n - (1 << 64) if n >= 1 << 63 else n
+
+    out = set()
+    for m in mixes:
+        count = max(1, -(-m.tokens // block_tokens))
+        blocks = {}
+        for i, text, _, source in docs:
+            if source == m.source:
+                t = text_hash(text)
+                blocks.setdefault(hashed((4, seed), (8, i), (8, t), blocks=count), []).append((i, t, len(text.split())))
+        for epoch in range(m.passes + (m.rest > 0)):
+            start = 0
+            for b in sorted(blocks, key=lambda b: (hashed((4, seed), (4, epoch), (8, b)), b)):
+                room = math.inf if epoch < m.passes else m.rest - start
+                inside = 0
+                for i, _, n in sorted(blocks[b], key=lambda r: (hashed((4, seed), (4, epoch), (8, r[0]), (8, r[1])), r[0], r[1])):
+                    if inside < room:
+                        out.add((i, epoch, round((epoch * m.tokens + start) / m.budget, 9)))
+                    inside += n
+                start += inside
+    return out
+
+
+@pytest.mark.parametrize("options", [{"repetition_limit": 1.5}, {"repetition_limit": 2.7}, {"target_entropy": 0.9, "budget": 2500.0}])
+def test_schedule_equals_brute_force(make_docs, options):
+    docs = [(i, words(3 + i % 9, 20 * i), None, "c" if i % 10 == 0 else "ab"[i % 3 == 0]) for i in range(500)]
+    totals = Counter()
+    for _, text, _, source in docs:
+        totals[source] += len(text.split())
+    mixes = mixing.plan_mix(sorted(totals.items()), options.get("target_entropy"), options.get("repetition_limit"), options.get("budget"))
+    rows = mixing.schedule(make_docs(docs), block_tokens=150, **options).collect()
+    got = [(r["d"], r["epoch"], round(r["mix_key"], 9)) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == slow_schedule(docs, mixes, 150)
+
+
 def test_odd_documents(odd_docs, no_docs):
     mixed = mixing.mix(odd_docs, repetition_limit=1.0)
     assert sorted(mixed.columns) == sorted([*odd_docs.columns, "mix_key"])  # an own column "epoch" gives way
