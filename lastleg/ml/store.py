@@ -26,9 +26,12 @@ _loaded: dict[tuple[str, str, str, str], "Model"] = {}
 
 
 class Model:
-    """A fitted model with what it takes to score rows: features, the cities it knows, and whether it gives a probability."""
+    """A fitted model with what it takes to score rows: features, the cities it knows, and whether it gives a probability.
 
-    def __init__(self, name: str, fitted: PipelineModel | Boosted, features: list[str], cities: list[str], regressor: bool = False):
+    Several pipelines are the parts of one forest: it answers with the mean over all their trees.
+    """
+
+    def __init__(self, name: str, fitted: list[PipelineModel] | Boosted, features: list[str], cities: list[str], regressor: bool = False):
         self.name, self.fitted, self.features, self.cities, self.regressor = name, fitted, list(features), list(cities), regressor
 
     @property
@@ -40,11 +43,25 @@ class Model:
         if isinstance(self.fitted, Boosted):
             return rows.withColumn(out, self.fitted.probability(**{CITY_CODE: city_code(self.cities)}))
         value = F.col("prediction") if self.regressor else vector_to_array("probability")[1]
-        return self.fitted.transform(rows).select(*rows.columns, value.alias(out))
+        scored, given = rows, [f"_part_{i}" for i in range(len(self.fitted))]
+        for part, column in zip(self.fitted, given, strict=True):
+            scored = part.transform(scored).select(*scored.columns, value.alias(column))
+        if len(given) == 1:
+            return scored.withColumnRenamed(given[0], out)
+        total = sum((F.col(c) * F.lit(w) for c, w in zip(given, self._weights(), strict=True)), F.lit(0.0))
+        return scored.select(*rows.columns, total.alias(out))
+
+    def _weights(self) -> list[float]:
+        """The share of each part in all trees."""
+        trees = [part.stages[-1].getNumTrees for part in self.fitted]
+        return [n / sum(trees) for n in trees]
 
     def importances(self) -> list[tuple[str, float]]:
         """All inputs, most important first."""
-        values = self.fitted.importances() if isinstance(self.fitted, Boosted) else self.fitted.stages[-1].featureImportances.toArray()
+        if isinstance(self.fitted, Boosted):
+            values = self.fitted.importances()
+        else:
+            values = sum(w * part.stages[-1].featureImportances.toArray() for w, part in zip(self._weights(), self.fitted, strict=True))
         return sorted(zip(self.inputs, map(float, values), strict=True), key=lambda p: (-p[1], p[0]))
 
 
@@ -80,8 +97,9 @@ def save_models(models: list[Model], model_dir: str) -> str:
             ]
             spark.createDataFrame(rows, _TREES).coalesce(1).write.parquet(f"{folder}/{path}")
         else:
-            entry["kind"] = "pipeline"
-            m.fitted.write().save(f"{folder}/{path}")
+            entry.update(kind="pipeline", parts=len(m.fitted))
+            for i, part in enumerate(m.fitted):
+                part.write().save(f"{folder}/{path}/{i}")
         entries[m.name] = entry
     _swap(spark, folder, json.dumps({"version": version, "models": entries}, sort_keys=True))
     return version
@@ -102,7 +120,8 @@ def load_model(model_dir: str, name: str = "late_delivery") -> Model | None:
             arrays = [np.array([r[c] for r in rows]) for c in ("feature", "threshold", "gain", "value")]
             fitted = Boosted([*entry["features"], CITY_CODE], entry["base"], entry["depth"], *arrays)
         else:
-            fitted = PipelineModel.load(path)
+            # models saved before there were parts have none
+            fitted = [PipelineModel.load(f"{path}/{i}") for i in range(entry["parts"])] if "parts" in entry else [PipelineModel.load(path)]
         _loaded[key] = Model(name, fitted, entry["features"], entry["cities"], entry["regressor"])
     return _loaded[key]
 

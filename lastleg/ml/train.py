@@ -103,10 +103,19 @@ def _fit(name: str, table: ModelTable, label: str, learn, exclude: tuple[str, ..
     return Trained(name, model, features, metrics, population, n_train, n_test)
 
 
-# Node ids stay with the rows instead of walking each tree again; one pass over the rows
-# gathers the statistics of as many nodes as this memory holds.
+# One pass over the rows gathers the statistics of as many nodes as this memory holds. A row's node in every tree is
+# found by walking them: kept node ids would be a number a row and tree, on top of the draws.
 ROWS_PER_PARTITION = 20_000
-TREE_LEARNING = {"cacheNodeIds": True, "checkpointInterval": 25, "maxMemoryInMB": 512}
+TREE_LEARNING = {"cacheNodeIds": False, "maxMemoryInMB": 512}
+# The library keeps a draw for each row and tree, four bytes, while it learns a forest. More than so many are never kept
+# at once: a forest over more rows is learned in parts of fewer trees, all of them over all rows.
+MOST_DRAWS = 1_000_000_000
+
+
+def forest_parts(trees: int, rows: int) -> list[int]:
+    """The number of trees of each part of a forest."""
+    parts = min(trees, max(1, -(-trees * rows // MOST_DRAWS)))
+    return [trees // parts + (i < trees % parts) for i in range(parts)]
 
 
 def _forest(estimator):
@@ -114,7 +123,12 @@ def _forest(estimator):
     def learn(train: DataFrame, features: list[str], cities: list[str]):
         kept = train.persist()
         try:
-            return _pipeline(features, estimator.setLabelCol("label").setFeaturesCol("features")).fit(kept)
+            sizes = forest_parts(estimator.getNumTrees(), kept.count())
+            learner = estimator.setLabelCol("label").setFeaturesCol("features")
+            return [
+                _pipeline(features, learner.copy({learner.numTrees: n, learner.seed: settings.MODEL_SEED + i})).fit(kept)
+                for i, n in enumerate(sizes)
+            ]
         finally:
             kept.unpersist()
     return learn

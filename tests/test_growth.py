@@ -33,3 +33,26 @@ def test_large_partitions_are_binned_in_chunks(spark, monkeypatch):
         assert block[0].shape == (2, 500) and block[0].dtype == np.uint8
     assert binned[100] == binned[1000]
     assert (whole.feature[:, 0] == 0).all()
+
+
+def test_forest_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
+    w = refresh(spark, DATA)
+    rows = w.model_table.rows.count()
+    monkeypatch.setattr(train, "MOST_DRAWS", 2 * rows)
+    assert train.forest_parts(7, rows) == [2, 2, 2, 1] and train.forest_parts(3, 10**12) == [1, 1, 1]
+    made = train.train_breach(w.model_table, trees=5)
+    parts = made.model.fitted
+    # four fifths of the rows are learned from
+    assert [p.stages[-1].getNumTrees for p in parts] == [3, 2] and made.metrics["roc_auc"] > 0.9
+    few = w.model_table.rows.limit(50).persist()
+    each = []
+    for p in parts:
+        scored = p.transform(few).select("order_id", vector_to_array("probability")[1].alias("p"))
+        each.append({r.order_id: r.p for r in scored.collect()})
+    got = {r.order_id: r.s for r in made.model.score(few, "s").collect()}
+    assert got == pytest.approx({k: (3 * each[0][k] + 2 * each[1][k]) / 5 for k in got})
+    assert sum(v for _, v in made.importances()) == pytest.approx(1.0)
+    store.save_models([made.model], str(tmp_path))
+    again = store.load_model(str(tmp_path), train.BREACH)
+    assert {r.order_id: r.s for r in again.score(few, "s").collect()} == pytest.approx(got)
+    few.unpersist()
