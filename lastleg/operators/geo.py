@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lastleg import settings
 from lastleg.functions.numeric import dbl, exact_avg, np_round
-from lastleg.session import stage
+from lastleg.session import find_package, stage
 
 GRID_SCHEMA = "lat_bin double, lon_bin double, order_count bigint, late_rate double, avg_delivery_min double, avg_congestion double"
 ZONE_SCHEMA = "cluster int, center_lat double, center_lon double, order_count bigint, late_rate double, avg_delivery_min double"
@@ -30,8 +33,8 @@ def geo_grid(orders: DataFrame, precision: int = 3, ordered: bool = True) -> Dat
     return cells.orderBy(F.desc("order_count"), "lat_bin", "lon_bin") if ordered else cells
 
 
-def nearest_centre(centres: list[tuple[float, float]], with_distance: bool = False) -> Column:
-    """Index of the nearest of a handful of centres, the first one on a tie; with its squared distance, a struct (d, cluster)."""
+def nearest_centre(centres: list[tuple[float, float]]) -> Column:
+    """Index of the nearest of a handful of centres, the first one on a tie."""
     lat, lon = dbl("delivery_lat"), dbl("delivery_lon")
     distances = F.array(*[
         F.struct(
@@ -39,8 +42,7 @@ def nearest_centre(centres: list[tuple[float, float]], with_distance: bool = Fal
             F.lit(i).alias("cluster"))
         for i, (a, b) in enumerate(centres)
     ])
-    nearest = F.array_min(distances)
-    return nearest if with_distance else nearest["cluster"]
+    return F.array_min(distances)["cluster"]
 
 
 def zone_summary(assigned: DataFrame) -> DataFrame:
@@ -72,15 +74,34 @@ def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def _sums_by_centre(centres: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each start and centre of a partition: sums of its nearest points' coordinates and squared distances, and their number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros((4, len(c))) for i, c in centres.items()}
+        for batch in batches:
+            lat, lon = (batch.column(i).to_numpy() for i in range(2))
+            for i, c in centres.items():
+                distances = (lat - c[:, :1]) ** 2 + (lon - c[:, 1:]) ** 2
+                near = distances.argmin(axis=0)
+                for line, weights in enumerate((lat, lon, distances.min(axis=0), None)):
+                    sums[i][line] += np.bincount(near, weights, len(c))
+        for i, (lat, lon, d, n) in sums.items():
+            columns = [np.full(len(n), i, np.int32), np.arange(len(n), dtype=np.int32), lat, lon, d, n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["start", "cluster", "lat", "lon", "d", "n"])
+    return run
+
+
 def fit_centres(
     orders: DataFrame, k: int = settings.ZONE_CLUSTERS, restarts: int = settings.ZONE_RESTARTS, seed: int = settings.ZONE_SEED,
     sample: int = 10_000, most_rounds: int = 20, tolerance: float = 1e-4,
 ) -> list[tuple[float, float]] | None:
     """K-means centres over all located orders: the best of several starts by the sum of squared distances.
 
-    Every round moves the centres of all starts by one aggregate: a point meets all of them in one expression. Starts are drawn
+    Every round moves the centres of all starts in one pass: a task adds up its points by nearest centre, a batch at a time, so what is
+    shuffled is a row for each task, start and centre. Starts are drawn
     from at most ``sample`` points, those with the smallest hash. Only k centres a start reach the driver. ``None`` when there are fewer points than k.
     """
+    find_package(orders.sparkSession)
     points = stage(_located(orders).select(dbl("delivery_lat").alias("delivery_lat"), dbl("delivery_lon").alias("delivery_lon")), "points")
     drawn = points.orderBy(F.xxhash64("delivery_lat", "delivery_lon")).limit(sample).collect()
     if len(drawn) < k:
@@ -89,15 +110,12 @@ def fit_centres(
     centres = [_first_centres(drawn, k, seed + i) for i in range(restarts)]
     cost, active = [float("inf")] * restarts, list(range(restarts))
     for _ in range(most_rounds):
-        each = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("start"), nearest_centre(centres[i].tolist(), with_distance=True).alias("near")) for i in active
-        ]))
-        sums = points.select("*", each.alias("e")).groupBy("e.start", "e.near.cluster").agg(
-            F.avg("delivery_lat").alias("lat"), F.avg("delivery_lon").alias("lon"), F.sum("e.near.d").alias("d"))
+        parts = points.mapInArrow(_sums_by_centre({i: centres[i] for i in active}), "start int, cluster int, lat double, lon double, d double, n double")
+        sums = parts.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("lat", "lon", "d", "n")]).where("n > 0")
         moved = {i: centres[i].copy() for i in active}
         spent = dict.fromkeys(active, 0.0)
         for r in sums.collect():
-            moved[r["start"]][r["cluster"]] = (r["lat"], r["lon"])
+            moved[r["start"]][r["cluster"]] = (r["lat"] / r["n"], r["lon"] / r["n"])
             spent[r["start"]] += r["d"]
         for i in list(active):
             cost[i] = spent[i]

@@ -56,3 +56,18 @@ def test_forest_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
     again = store.load_model(str(tmp_path), train.BREACH)
     assert {r.order_id: r.s for r in again.score(few, "s").collect()} == pytest.approx(got)
     few.unpersist()
+
+
+def test_zone_sums_of_a_task_equal_brute_force():
+    rng = np.random.default_rng(3)
+    points = rng.random((700, 2))
+    centres = {0: rng.random((4, 2)), 2: np.vstack([points[:2], [[9.0, 9.0]]])}
+    batches = [pa.RecordBatch.from_arrays([pa.array(b[:, 0]), pa.array(b[:, 1])], ["lat", "lon"]) for b in np.array_split(points, 3)]
+    rows = [r for b in geo._sums_by_centre(centres)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["start"], r["cluster"]) for r in rows] == [(i, j) for i, c in centres.items() for j in range(len(c))]
+    for r in rows:
+        c = centres[r["start"]]
+        d = ((points[:, None] - c) ** 2).sum(axis=2)
+        mine = d.argmin(axis=1) == r["cluster"]
+        assert r["n"] == mine.sum() and r["d"] == pytest.approx(d[mine].min(axis=1).sum())
+        assert (r["lat"], r["lon"]) == pytest.approx(tuple(points[mine].sum(axis=0)))
