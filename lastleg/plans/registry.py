@@ -419,7 +419,7 @@ def q3_city_hours(w):
 # --- KPIs and recommendations -------------------------------------------------------------
 
 def _kpis(w: Warehouse, **how) -> DataFrame:
-    return kpi.compute_kpis(w.orders, w.riders, w.store_performance, **how)
+    return kpi.compute_kpis(w.orders, w.riders, w.store_totals, **how)
 
 
 @query
@@ -616,12 +616,12 @@ def delay_hist(w):
 
 @query
 def risk_hist(w):
-    return datasets.risk_hist(w.enriched)
+    return datasets.risk_hist(w.risk_scored)
 
 
 @query
 def risk_by_hour(w):
-    return datasets.risk_by_hour(w.enriched)
+    return datasets.risk_by_hour(w.risk_scored)
 
 
 @query
@@ -726,7 +726,7 @@ def stratified_split(w):
 
 @query
 def clf_metrics(w):
-    return metrics.classification_metrics(w.enriched, "is_late", "late_risk_score", 0.75)
+    return metrics.classification_metrics(w.risk_scored, "is_late", "late_risk_score", 0.75)
 
 
 @query
@@ -747,7 +747,7 @@ def no_model_bands(w):
 
 @query
 def risk_bands(w):
-    fixed = w.enriched.withColumn("late_prob", clip(np_round(dbl("late_risk_score") - F.lit(0.2), 4), 0.0, 1.0))
+    fixed = w.risk_scored.withColumn("late_prob", clip(np_round(dbl("late_risk_score") - F.lit(0.2), 4), 0.0, 1.0))
     return score.risk_bands(fixed).select("order_id", "late_prob", "predicted_late", "risk_level")
 
 

@@ -65,6 +65,16 @@ class Warehouse:
     def enriched(self) -> DataFrame:
         return self._by_day(features.engineer(self.orders, self.riders), "orders_enriched")
 
+    @property
+    def risk_scored(self) -> DataFrame:
+        """Orders with their risk score, which needs no lookup: its readers leave the enriched orders alone."""
+        return self.orders.withColumn("late_risk_score", features.late_risk_score())
+
+    @property
+    def store_totals(self) -> DataFrame:
+        """Order counts and capacities by store for the KPIs, which don't look at the peak load of the enriched orders."""
+        return rollups.store_performance(self.orders, self.stores).drop("peak_load")
+
     @cached_property
     def model_table(self) -> train.ModelTable:
         return train.model_table(self.enriched)

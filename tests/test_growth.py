@@ -71,3 +71,18 @@ def test_zone_sums_of_a_task_equal_brute_force():
         mine = d.argmin(axis=1) == r["cluster"]
         assert r["n"] == mine.sum() and r["d"] == pytest.approx(d[mine].min(axis=1).sum())
         assert (r["lat"], r["lon"]) == pytest.approx(tuple(points[mine].sum(axis=0)))
+
+
+@pytest.mark.parametrize("name", ["risk_bands", "alert_lines", "recommendation_text", "kpis_all", "clf_metrics", "risk_hist"])
+def test_enriched_orders_are_not_built_for_row_scores_and_kpis(spark, name):
+    w = refresh(spark, DATA)
+    assert QUERIES[name](spark, DATA).count() > 0
+    assert "enriched" not in w.__dict__
+
+
+def test_store_totals_are_those_of_store_performance(spark):
+    w = refresh(spark, DATA)
+    columns = sorted(w.store_totals.columns)
+    assert columns == sorted(c for c in w.store_performance.columns if c != "peak_load")
+    assert w.store_totals.select(*columns).exceptAll(w.store_performance.select(*columns)).count() == 0
+    assert w.risk_scored.select("order_id", "late_risk_score").exceptAll(w.enriched.select("order_id", F.col("late_risk_score"))).count() == 0
