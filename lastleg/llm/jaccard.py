@@ -1,6 +1,7 @@
-"""Near-dedup by the Jaccard similarity of word shingles: MinHash buckets, every link checked exactly.
+"""Near-dedup by the Jaccard similarity of word shingles: SimHash fingerprints, then MinHash buckets, every link checked exactly.
 
-A text is the set of its word shingles. Candidates are texts that agree in all ``ROWS`` minima of one of ``BANDS``
+A text is the set of its word shingles. The first candidates are those of the SimHash operator: texts whose fingerprints differ in
+``RADIUS`` bits or fewer, by its covering masks. At a similarity of 0.8 fingerprints differ by more, so candidates are also texts that agree in all ``ROWS`` minima of one of ``BANDS``
 bands: a pair of similarity s is found with probability 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8 and more above.
 A candidate links only if its exact similarity reaches the threshold, so a link never rests on hashes of minima alone.
 
@@ -34,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lastleg.llm import simhash
 from lastleg.llm.common import stage_texts, unused
 from lastleg.llm.graph import connected_components
 from lastleg.session import stage
 
 BANDS, ROWS = 32, 6
+RADIUS = 4  # bits in which the fingerprints of candidates may differ
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 12  # shingles whose minima are taken at once
@@ -80,20 +83,22 @@ def _text_hashes() -> list:
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(h1, h2, n, keys) of every row: text hashes, number of shingles, band keys."""
+    """(h1, h2, n, keys, fp) of every row: text hashes, number of shingles, band keys, SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _permutations()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), shingle_words)
                 sizes.append(len(found))
                 keys.append(band_keys(found, factors, shifts))
+                prints.append(simhash.text_fingerprint(text.as_py(), shingle_words))
             arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "n", "keys"])
+            arrays.append(pa.array(np.array(prints, "<u8").view("<i8")))
+            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "n", "keys", "fp"])
 
-    return docs.select(*_text_hashes(), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, n long, keys array<long>")
+    return docs.select(*_text_hashes(), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, n long, keys array<long>, fp long")
 
 
 def _shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -120,6 +125,15 @@ def _once_a_task(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h1 long, h2 long, text string")
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): each text with the first of its fingerprint, and the stars of first texts whose fingerprints are near."""
+    first = stage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    firsts = first.select(F.col("fp").alias("known"), F.col("node").alias("a"))
+    same = nodes.select("fp", F.col("node").alias("b")).join(firsts.hint("merge"), F.col("fp") == F.col("known")).filter("a <> b").select("a", "b")
+    stars = simhash.covering_edges(first, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stage(same.unionByName(stars).distinct(), "near_prints")
+
+
 def _twos(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the two texts of each bucket of two whose sizes allow the threshold."""
     text = F.struct("node", "n")
@@ -203,15 +217,16 @@ def _rare_pairs(deltas: DataFrame, classes: DataFrame, threshold: float) -> Data
 def near_links(docs: DataFrame, shingle_words: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """The distinct texts (node, h1, h2), and (node, component) of those that are alike to others; None if there are none."""
     rows = stage_texts(signatures(docs, shingle_words), "signatures")
-    distinct = rows.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = rows.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct_texts")
     texts = nodes.select("node", "h1", "h2")
     buckets = nodes.select("node", "n", F.posexplode("keys").alias("table", "key"))
     shared = buckets.groupBy("table", "key").agg(F.count("*").alias("m")).filter("m > 1")
     members = stage(buckets.join(shared.hint("merge"), ["table", "key"]).select("table", "key", "node", "n", "m"), "buckets")
-    pairs = _twos(members, threshold)
+    near = _near_prints(nodes.select("node", "fp"))
+    pairs = _twos(members, threshold).unionByName(near).distinct()
     spokes = _spokes(members.filter("m > 2"))
-    ends = members.select("node").distinct()
+    ends = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     if not ends.take(1):
         return texts, None
     ends = texts.join(ends.hint("merge"), "node").select(F.col("node").alias("k"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
