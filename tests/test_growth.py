@@ -86,3 +86,23 @@ def test_store_totals_are_those_of_store_performance(spark):
     assert columns == sorted(c for c in w.store_performance.columns if c != "peak_load")
     assert w.store_totals.select(*columns).exceptAll(w.store_performance.select(*columns)).count() == 0
     assert w.risk_scored.select("order_id", "late_risk_score").exceptAll(w.enriched.select("order_id", F.col("late_risk_score"))).count() == 0
+
+
+def test_boosting_sends_what_features_have_and_keeps_small_blocks(spark):
+    df = spark.range(600).selectExpr("id", "double(id * 7 % 311) AS a", "double(id % 3) AS b", "double(id * 7 % 311 > 120) AS y")
+    edges = boosting.bin_edges(df, ["a", "b"])
+    block = boosting._blocks(df, ["a", "b"], "y", "id", edges, 1).collect()[0]
+    assert sum(part.nbytes for part in block) == 600 * (2 + 1 + 4)
+    assert boosting.KEPT.deserialized  # not compressed at every tree
+    grower = boosting.Grower(2, 0.3, 1.0, 1.0, 1.0, 1, [len(e) + 1 for e in edges])
+    chosen = np.array([0, 1])
+    level = {"number": 0, "level": 0, "feature": np.full(7, -1), "cut": np.zeros(7, np.int64), "nodes": np.array([0]), "chosen": chosen}
+    sums = grower.sums((*block, np.zeros(600)), level)
+    assert sums.shape == (1, len(edges[0]) + 1 + 3, 2)
+    spread = grower.spread(sums, chosen)
+    assert spread.shape == (1, 2, len(edges[0]) + 1, 2) and not spread[0, 1, 3:].any()
+    late = np.array([r.y for r in df.collect()])
+    assert spread[0, :, :, 0].sum(axis=1) == pytest.approx([(0.5 - late).sum()] * 2)
+    # a value's sums are those of its rows
+    by_b = [sum(0.5 - r.y for r in df.collect() if r.b == v) for v in range(3)]
+    assert spread[0, 1, :3, 0] == pytest.approx(by_b)
