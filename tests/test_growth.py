@@ -7,8 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from lastleg import session
 from lastleg.ml import boosting, store, train
-from lastleg.operators import geo
+from lastleg.operators import geo, quality
+from lastleg.operators.filters import DAY_COLUMN
 from lastleg.plans.registry import QUERIES
 from lastleg.plans.warehouse import refresh
 
@@ -106,3 +108,26 @@ def test_boosting_sends_what_features_have_and_keeps_small_blocks(spark):
     # a value's sums are those of its rows
     by_b = [sum(0.5 - r.y for r in df.collect() if r.b == v) for v in range(3)]
     assert spread[0, 1, :3, 0] == pytest.approx(by_b)
+
+
+def test_orders_are_made_of_narrow_lines(spark):
+    w = refresh(spark, DATA)
+    by_id = {r["order_id"]: r for r in w.orders.collect()}
+    assert "lines" not in w.__dict__  # no deliveries are stored on the way
+    assert set(w.lines.columns) == {"ok", "pk", "sk", "ln", "unreturned", "nk", "ck", "dd", "prio"}
+    whole = quality.keep_first(w.deliveries).withColumn(DAY_COLUMN, F.to_date("created_at"))
+    assert whole.columns == w.orders.columns
+    assert {r["order_id"]: r for r in whole.collect()} == by_id and len(by_id) > 4000
+    plan = w.dealt_lines._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and "customer_rating" not in plan
+
+
+def test_partitions_grow_with_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for size, expected in ((0, least), (6 * 2**30, 1536), (12 * 2**30, 3072)):
+        session.deal(spark, size)
+        assert int(spark.conf.get(key)) == expected
+    refresh(spark, DATA)
+    assert int(spark.conf.get(key)) == least
