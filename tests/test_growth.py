@@ -131,3 +131,14 @@ def test_partitions_grow_with_the_input(spark):
         assert int(spark.conf.get(key)) == expected
     refresh(spark, DATA)
     assert int(spark.conf.get(key)) == least
+
+
+def test_raw_orders_are_sorted_as_lines(spark):
+    w = refresh(spark, DATA)
+    order = ("order_id", *quality.ORDER_TIE_BREAK)
+    got = [tuple(r[c] for c in order) for r in w.deliveries_in_order.collect()]
+    assert got == sorted(got) and len(got) == w.deliveries.count()
+    assert sorted(got) == sorted(tuple(r[c] for c in order) for r in w.deliveries.collect())
+    plan = w.deliveries_in_order._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "sec" not in below and "created_at" not in below  # nothing but lines and the id travels
