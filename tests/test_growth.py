@@ -22,6 +22,21 @@ def test_boosting_deals_many_rows_to_the_cores():
     assert boosting._partitions(132_000_000, 50_000, 12) == 132
 
 
+def test_bounded_training_data_take_one_job(spark):
+    """A job for each level of 400 trees spent its time on starting tasks."""
+    df = spark.range(60_000).selectExpr("id", "double(id * 7 % 31) AS a", "double(id % 5) AS b", "double(id * 7 % 31 > 12) AS y").persist()
+    df.count()
+    args = dict(trees=30, depth=3, rate=0.3, row_share=0.7, seed=1)
+    spark.sparkContext.setJobGroup("one job", "")
+    one = boosting.fit(df, ["a", "b"], "y", "id", **args)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one job"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 10
+    levels = boosting.fit(df, ["a", "b"], "y", "id", rows_per_partition=30_000, **{**args, "trees": 4})
+    assert (one.feature[:4] == levels.feature).all() and (one.threshold[:4] == levels.threshold).all() and np.allclose(one.value[:4], levels.value)
+    df.unpersist()
+
+
 def test_large_partitions_are_binned_in_chunks(spark, monkeypatch):
     df = spark.range(500).selectExpr("id", "double(id * 7 % 31) AS a", "double(id % 5) AS b", "double(id * 7 % 31 > 12) AS y")
     args = dict(trees=5, depth=3, rate=0.3, seed=1)
