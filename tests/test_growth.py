@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import DATA
 from lastleg import session
 from lastleg.ml import boosting, store, train
-from lastleg.operators import geo, quality
+from lastleg.operators import geo, joins, quality
 from lastleg.operators.filters import DAY_COLUMN
 from lastleg.plans.registry import QUERIES
 from lastleg.plans.warehouse import refresh
@@ -37,6 +37,19 @@ def test_bounded_training_data_take_one_job(spark):
     df.unpersist()
 
 
+@pytest.mark.parametrize("name", ["score_orders_no_model", "no_model_bands"])
+def test_answers_without_a_model_need_no_orders(spark, monkeypatch, name):
+    """One row an order id, as from the orders, with lookups that are broadcast and with shuffled ones."""
+    w = refresh(spark, DATA)
+    small = QUERIES[name](spark, DATA).collect()
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    shuffled = QUERIES[name](spark, DATA).collect()
+    assert "orders" not in w.__dict__ and "lines" not in w.__dict__
+    monkeypatch.undo()
+    assert sorted(r.order_id for r in w.orders.select("order_id").collect()) == sorted(r.order_id for r in small)
+    assert sorted(small) == sorted(shuffled) == sorted(QUERIES[name](spark, DATA).collect())
+
+
 def test_large_partitions_are_binned_in_chunks(spark, monkeypatch):
     df = spark.range(500).selectExpr("id", "double(id * 7 % 31) AS a", "double(id % 5) AS b", "double(id * 7 % 31 > 12) AS y")
     args = dict(trees=5, depth=3, rate=0.3, seed=1)
