@@ -8,6 +8,7 @@ from lastleg import settings
 from lastleg.functions import dates
 from lastleg.functions.numeric import clip, dbl, exact_avg, np_round
 from lastleg.operators.joins import lookup_join
+from lastleg.session import stage
 
 ENGINEERED = (
     "hour_sin", "hour_cos", "day_sin", "day_cos", "week_of_year", "quarter",
@@ -61,6 +62,16 @@ def join_riders(
     return lookup_join(orders, attributes, "rider_id", small=small, keys_from=source)
 
 
+def per_rider_row(orders: DataFrame, riders: DataFrame) -> DataFrame:
+    """Orders as often as ``join_riders`` gives them: once for each row of their rider. Only riders with several rows are joined."""
+    times = riders.where(F.col("rider_id").isNotNull()).groupBy("rider_id").agg(F.count("*").alias("_times")).where("_times > 1")
+    times = stage(times, "repeated_riders")
+    if times.isEmpty():
+        return orders
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_times", F.lit(1)))).alias("_copy")
+    return lookup_join(orders, times, "rider_id").select(*orders.columns, each).drop("_copy")
+
+
 def store_day_counts(orders: DataFrame) -> DataFrame:
     return (
         orders.select("dark_store_id", dates.day("created_at").alias("_day"))

@@ -130,7 +130,8 @@ class Warehouse:
 
     @cached_property
     def store_performance(self) -> DataFrame:
-        return rollups.store_performance(self.orders, self.stores, day_counts=features.store_day_counts(self.orders))
+        rows = features.per_rider_row(self.orders, self.riders)
+        return rollups.store_performance(rows, self.stores, day_counts=features.store_day_counts(self.orders))
 
     @cached_property
     def hourly_stress(self) -> DataFrame:

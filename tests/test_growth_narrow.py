@@ -35,6 +35,22 @@ def test_peaks_by_store_are_those_of_every_order(spark, make_orders):
     assert {r.dark_store_id: r.peak_load for r in got.collect()} == {"DS1": 3, "DS2": None}
 
 
+def test_orders_count_once_for_each_row_of_their_rider(spark, make_orders):
+    """As in the enriched orders, whether riders have one row or several."""
+    orders = make_orders(*[
+        {"order_id": f"A{i}", "dark_store_id": "DS1", "rider_id": r, "created_at": datetime(2024, 1, 1, 10)} for i, r in enumerate(["R1", "R1", "R2", "R9", None])])
+    schema = "rider_id string, experience_months int, base_efficiency_score double, rating double"
+    for ids in (["R1", "R2", None], ["R1", "R1", "R1", "R2", None, None]):
+        riders = spark.createDataFrame([(r, 1, 0.5, 4.0) for r in ids], schema)
+        rows = features.per_rider_row(orders, riders)
+        assert rows.columns == orders.columns
+        joined = features.join_riders(orders, riders).select(*orders.columns)
+        assert sorted(map(str, rows.collect())) == sorted(map(str, joined.collect()))
+        got = rollups.store_performance(rows, day_counts=features.store_day_counts(orders))
+        expected = rollups.store_performance(features.engineer(orders, riders))
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_update_stores_no_copy_of_changed_orders(spark, tmp_path, monkeypatch):
     w, stored = refresh(spark, DATA), []
     stage = etl.stage
